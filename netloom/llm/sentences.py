@@ -19,7 +19,7 @@ DOT = MASKS[0]
 
 #: Abbreviations that are followed by what they belong to and end no sentence.
 TITLES = (
-    "Prof Dr Drs Mr Mrs Ms Mme Mlle MM St Ste Sr Sra Srta Hr Fr Ing Dipl Inst Jl Gg Bpk Gen Col Capt Lt Sgt Hon "
+    "inst prof dr mr mrs Prof Dr Drs Mr Mrs Ms Mme Mlle MM St Ste Sr Sra Srta Hr Fr Ing Dipl Inst Jl Gg Bpk Gen Col Capt Lt Sgt Hon "
     "cf Cf vgl Vgl vs viz approx Approx aprox Aprox ca Ca env Env bzw inkl exkl incl "
     "réf Réf bd Bd boul av Av bld chap "
     "ул Ул гл пл пер обл им проф акад См напр тел "

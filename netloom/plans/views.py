@@ -9,7 +9,7 @@ from netloom.session import table
 
 
 def node(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("code"), (F.col("s_suppkey") * 7919 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 104729 % 1000).cast("double").alias("y"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("code"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"), (F.col("s_suppkey") * 7919 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 104729 % 1000).cast("double").alias("y"))
 
 
 def site(spark: SparkSession, d: str) -> DataFrame:

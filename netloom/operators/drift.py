@@ -281,3 +281,60 @@ def drift_events(raw: DataFrame, key_pattern: str) -> DataFrame:
         wanted = F.broadcast(wanted)
     agreed = evidence(raw, wanted).groupBy(F.col("pair_id").alias("file_id")).agg(F.collect_list(F.struct("gone", "new", "both", "same")).alias("ev"))
     return both.join(agreed, "file_id", "left").select("file_id", "was", "now", "ev").mapInArrow(_scripts, "file_id long, field_path string, drift_kind string, prev_path string")
+
+
+def lineages(raw: DataFrame, events: DataFrame, standard: list[str]) -> DataFrame:
+    """(file_id, path, canon): what every field of every file is called in the one table.
+
+    Fields of a series that follow each other by renames are one lineage. It takes the standard name it ever had
+    that stands first in the list; one that never had any takes the standard name its own name mostly leads to in other series, or else its first
+    name. Lineages are followed to their first segment by pointer jumping, so long chains need few rounds.
+    """
+    files = cut(file_pairs(raw))
+    stats = cut(field_stats(raw, "").select("file_id", "path").join(files.select("file_id", "series", "seq"), "file_id"))
+    ev = cut(events.join(files.select("file_id", "series", "seq"), "file_id"))
+    first = stats.where("seq = 1").select("series", "path", "seq", F.lit(None).cast("string").alias("prev"))
+    later = ev.where("drift_kind IN ('added', 'renamed', 'moved')").select("series", F.col("field_path").alias("path"), "seq", F.when(F.col("drift_kind") != "added", F.col("prev_path")).alias("prev"))
+    starts = cut(first.unionByName(later).dropDuplicates(["series", "path", "seq"]).withColumn("seg", F.xxhash64("series", "path", "seq")))
+    old = starts.select("series", F.col("path").alias("prev"), F.col("seq").alias("oseq"), F.col("seg").alias("oseg"))
+    up = starts.where("prev IS NOT NULL").join(old, ["series", "prev"]).where("oseq < seq").groupBy("seg").agg(F.max_by("oseg", "oseq").alias("up"))
+    root = cut(starts.select("seg").join(up, "seg", "left").select("seg", F.coalesce("up", "seg").alias("root")))
+    while True:
+        hop = cut(root.join(root.select(F.col("seg").alias("root"), F.col("root").alias("far")), "root").select("seg", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+        root = hop.select("seg", "root")
+        if hop.where("moved").isEmpty():
+            break
+    named = cut(starts.join(root, "seg"))
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in standard]), F.col("path")), F.lit(0))
+    std = F.min_by(F.when(rank > 0, F.col("path")), F.when(rank > 0, rank))
+    per = cut(named.groupBy("root").agg(std.alias("std"), F.min_by("path", F.struct("seq", "path")).alias("first_name")))
+    votes = named.join(per.where("std IS NOT NULL"), "root").where(rank == 0).groupBy("path", "std").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max_by("std", F.struct("n", "std")).alias("vote"))
+    by_vote = named.join(votes, "path").groupBy("root").agg(F.min_by("vote", F.struct("seq", "path")).alias("vote"))
+    canon = per.join(by_vote, "root", "left").select("root", F.coalesce("std", "vote", "first_name").alias("canon"))
+    # each file's field belongs to the latest segment of its name that had begun
+    marks = stats.select("series", "path", "seq", "file_id", F.lit(None).cast("long").alias("root")).unionByName(named.select("series", "path", "seq", F.lit(None).cast("long").alias("file_id"), "root"))
+    w = Window.partitionBy("series", "path").orderBy("seq", F.col("file_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = marks.withColumn("root", F.last("root", ignorenulls=True).over(w)).where("file_id IS NOT NULL")
+    return held.join(canon, "root", "left").select("file_id", "path", F.coalesce("canon", "path").alias("canon"))
+
+
+def consistent_table(raw: DataFrame, names: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """raw_id, series, file_id, line_no, the columns (canonical name -> type) and `more`, a map of what else a line holds.
+
+    Lines that aren't whole objects are left out. Values that don't fit a column's type are NULL there (decimal commas
+    are read); of two fields of one file that lead to one name the first by name counts.
+    """
+    per_file = names.where(~F.contains("path", F.lit(SEP))).groupBy("file_id", "canon").agg(F.min("path").alias("path")).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "canon"))).alias("__names"))
+    per_file = cut(per_file)
+    if per_file.count() <= BROADCAST_FILES:
+        per_file = F.broadcast(per_file)
+    rows = raw.select("raw_id", "series", "file_id", "line_no", "record").where(F.try_parse_json("record").isNotNull() & F.ltrim("record").startswith("{"))
+    m = rows.join(per_file, "file_id", "left").withColumn("__m", F.from_json("record", "map<string,string>"))
+    pairs = F.filter(F.transform(F.map_entries("__m"), lambda e: F.struct(F.try_element_at(F.col("__names"), e["key"]).alias("key"), e["value"].alias("value"))), lambda e: e["key"].isNotNull())
+    m = m.withColumn("__c", F.map_from_entries(pairs))
+
+    def typed(name: str, kind: str):
+        v = F.try_element_at("__c", F.lit(name))
+        return (v if kind == "string" else F.replace(F.trim(v), F.lit(","), F.lit(".")).try_cast("double").try_cast(kind) if kind != "boolean" else v.try_cast(kind)).alias(name.lower())
+
+    return m.select("raw_id", "series", "file_id", "line_no", *[typed(n, k) for n, k in columns.items()], F.map_filter("__c", lambda k, v: ~k.isin(list(columns))).alias("more"))

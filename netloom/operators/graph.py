@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from netloom.operators.drift import assign
 from netloom.operators.spatial import near_pairs
@@ -81,19 +80,24 @@ def tag_edges(edges: DataFrame, domains: DataFrame) -> DataFrame:
     return j.withColumn("domain", F.when(F.col("a_seed") != F.col("b_seed"), "LINK").otherwise(F.coalesce("a_seed", "b_seed"))).drop("a_seed", "b_seed")
 
 
-def greedy_matching(candidates: DataFrame) -> DataFrame:
+def greedy_matching(candidates: DataFrame, one_set: bool = False) -> DataFrame:
     """(left_id, right_id, d): pairs taken in order of (d rounded to a millimetre, left_id, right_id), each side once.
 
-    In each round every pair that is first at both of its ends is taken; that gives the same pairs as one pass in order.
+    With one_set both sides are ids of one set, and each id is taken once in either place. In each round every pair
+    that is first at both of its ends is taken; that gives the same pairs as one pass in order.
     """
-    rest = cut(candidates.select("left_id", "right_id", "d", F.struct(F.round("d", 3).alias("r"), "left_id", "right_id").alias("o")))
+    key = lambda side: F.concat(F.lit("" if one_set else side), F.col(f"{side}_id").cast("string"))
+    order = F.struct(F.round("d", 3).alias("r"), "left_id", "right_id")
+    rest = cut(candidates.select("left_id", "right_id", "d", order.alias("o"), key("left").alias("__l"), key("right").alias("__r")))
     taken = None
     while not rest.isEmpty():
-        first = rest.withColumns({"__l": F.min("o").over(Window.partitionBy("left_id")), "__r": F.min("o").over(Window.partitionBy("right_id"))}).where("o = __l AND o = __r").select("left_id", "right_id", "d")
-        first = cut(first)
+        best = rest.select(F.explode(F.array("__l", "__r")).alias("e"), "o").groupBy("e").agg(F.min("o").alias("m"))
+        at = lambda side: best.select(F.col("e").alias(side), F.col("m").alias(f"{side}_m"))  # noqa: E731, B023
+        first = cut(rest.join(at("__l"), "__l").join(at("__r"), "__r").where("o = __l_m AND o = __r_m").select("left_id", "right_id", "d", "__l", "__r"))
         taken = first if taken is None else taken.unionByName(first)
-        rest = cut(rest.join(first.select("left_id"), "left_id", "left_anti").join(first.select("right_id"), "right_id", "left_anti"))
-    return taken if taken is not None else candidates.select("left_id", "right_id", "d")
+        gone = first.select(F.explode(F.array("__l", "__r")).alias("e"))
+        rest = cut(rest.join(gone, F.col("__l") == F.col("e"), "left_anti").join(gone, F.col("__r") == F.col("e"), "left_anti"))
+    return (taken if taken is not None else candidates).select("left_id", "right_id", "d")
 
 
 def best_assignment(candidates: DataFrame) -> DataFrame:

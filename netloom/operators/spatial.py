@@ -29,7 +29,7 @@ def near_pairs(points: DataFrame, id_col: str, x: str, y: str, radius: float, ce
     """(left_id, right_id), left_id < right_id, of points at most `radius` apart (straight line, inclusive).
 
     Points without x or y, or with NaN or infinite ones, have no pairs; rows that repeat an id never pair with
-    themselves but may with others, and each pair comes out once. Other columns are ignored. Cells are `cell_factor` radii wide: a
+    each other, and each pair of rows comes out once. Other columns are ignored. Cells are `cell_factor` radii wide: a
     point stays in its cell and is copied only to those of the cells west, south-east, south and south-west whose
     points it could reach, so most points are copied less than once. Both sides are hashed on the cell; a crowded
     cell is split by AQE's skew join.

@@ -27,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Evaluate once and cut lineage through the shared checkpoint folder, so that a lost executor costs nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least the session's shuffle partitions, for work that is dear by the row; a table of enough files is left as it is."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

@@ -30,7 +30,7 @@ NUMBERED = "tol Tol Vers No no Nos nos NO Nr Nrn nr N n Fig Figs fig figs Sec se
 #: Abbreviations of several parts; their parts end no sentence.
 PHRASES = "i.e e.g p.ex p.ej z.B Z.B d.h D.h u.a u.U o.ä z.T s.o s.u т.е т.к т.н т.о N.B a.C d.C c.-à-d".split()
 #: Abbreviations that may stand at the end; they end a sentence only before an upper-case letter or one without case.
-MAYBE = f"ft min hr hrs lbs oz etc usw dsb dst dll al Inc Ltd Co Corp Bros Jr др пр p{DOT}m a{DOT}m P{DOT}M A{DOT}M".split()
+MAYBE = "ft min hr hrs lbs oz etc usw dsb dst dll al Inc Ltd Co Corp Bros Jr др пр".split()
 #: Words before a German day or ordinal.
 ORDINAL = "am Am im Im der Der die Die das Das den Den dem Dem des zum Zum zur Zur vom Vom beim Beim bis seit ab Ab jeder jede".split()
 #: Words before a lone letter that is a name, no initial.
@@ -40,7 +40,7 @@ THAI = "ครับ ค่ะ คะ จ้ะ จ๊ะ".split()
 
 _W = "[\\s\u00a0\u202f\u3000]"
 _B = "(?<![\\p{L}\\p{M}\\p{N}_])"  # no word before
-_CLOSE = "\"”’'»›)\\]）】」』》〉"
+_CLOSE = "\"”“’'»›)\\]）】」』》〉"
 _TERM = ".!?…"
 
 
@@ -48,11 +48,6 @@ def _alt(words: list[str]) -> str:
     return "(?:" + "|".join(w.replace(".", "\\.") for w in sorted(set(words), key=lambda w: (-len(w), w))) + ")"
 
 
-def _dot(before: str, after: str) -> tuple[str, str]:
-    """A dot between the two; it is looked for first, as look-behinds are dear."""
-    return f"\\.(?<={before}\\.)(?={after})", DOT
-
-
 BLOCKS = (
     "(?s:(?<![^\\n])[ ]{0,3}```.*?(?:\\n[ ]{0,3}```[ \\t]*(?=\\n|\\z)|\\z))"
     "|(?s:(?<![^\\n])[ ]{0,3}~~~.*?(?:\\n[ ]{0,3}~~~[ \\t]*(?=\\n|\\z)|\\z))"
@@ -67,34 +62,41 @@ ITEMS = f"(?m)(?=^[ \\t]*(?:>|[-*+•‣◦]|\\d{{1,3}}[.)])[ \\t]+\\S)"
 LEAD = f"^(?:[ \\t]*{_MARK}[ \\t]+)+(?=\\S)"
 
 _PAIRS = [p.split(".") for p in PHRASES]
-_SECOND = "(?:" + "|".join(f"{a}{DOT}{_W}?{b}" for a, b in _PAIRS) + ")"
 _MONTHS = "(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)"
 
-#: (pattern, replacement) in order; each puts a mask in a mark's place and changes nothing else.
-RULES: list[tuple[str, str]] = [
+_ANY = f"[.{DOT}]"
+
+
+def _masks(*rules: tuple[str, str]) -> str:
+    """A dot with one of the contexts (before, after) around it. The dot is looked for first, as look-behinds are dear."""
+    return "\\.(?:" + "|".join(f"(?<={before}\\.)(?={after})" for before, after in rules) + ")"
+
+
+#: Dots that end no sentence.
+DOTS = _masks(
     # decimals, versions, file names and what else has no space after the mark
-    _dot(f"[\\p{{L}}\\p{{M}}\\p{{N}}_)\\]{DOT}]", "[\\p{Ll}\\p{N}_ºª]"),
-    ("\\.(?<![\\p{L}\\p{N}.]\\.)(?=\\p{N})", DOT),
+    (f"[\\p{{L}}\\p{{M}}\\p{{N}}_)\\]{DOT}]", "[\\p{Ll}\\p{N}_ºª]"),
+    ("(?<![\\p{L}\\p{N}.])", "\\p{N}"),
     # abbreviations
-    *[_dot(f"{_B}{a}", f"{_W}?{b}[.{DOT}]") for a, b in [*_PAIRS, ("т", "[дп]")]],
-    _dot(f"{_B}{_SECOND}", f"{_W}|$"),
-    _dot(f"{_B}{_alt(TITLES)}", f"{_W}*[^\\s]"),
-    _dot(f"(?<!\\d{_W}){_B}г", f"{_W}*\\p{{Lu}}"),
-    _dot(f"(?<!\\d{_W}){_B}см", f"{_W}*\\S"),
-    _dot(f"{_B}{_alt(NUMBERED)}", f"{_W}*(?:\\d|№|[A-Z](?![\\p{{L}}]))"),
+    *[(f"{_B}{a}", f"{_W}?{b}{_ANY}") for a, b in [*_PAIRS, ("т", "[дп]")]],
+    (f"{_B}(?:{'|'.join(f'{a}{_ANY}{_W}?{b}' for a, b in _PAIRS)})", f"{_W}|$"),
+    (f"{_B}{_alt(TITLES)}", f"{_W}*[^\\s]"),
+    (f"(?<!\\d{_W}){_B}г", f"{_W}*\\p{{Lu}}"),
+    (f"(?<!\\d{_W}){_B}см", f"{_W}*\\S"),
+    (f"{_B}{_alt(NUMBERED)}", f"{_W}*(?:\\d|№|[A-Z](?![\\p{{L}}]))"),
     # initials
-    _dot(f"(?<!(?:{_alt(LETTERED)}|[Rr]ev{DOT}){_W})(?<![\\p{{L}}\\p{{M}}\\p{{N}}{DOT}_])\\p{{Lu}}", f"{_W}?\\p{{Lu}}"),
-    _dot(f"\\p{{Lu}}{DOT}{_W}?\\p{{Lu}}", f"{_W}?\\p{{Lu}}\\p{{Ll}}"),
-    _dot(f"{DOT}\\p{{Lu}}", f"{_W}+\\p{{Ll}}"),
-    _dot(f"{_B}\\p{{Ll}}", f"{_W}+\\p{{Ll}}"),
+    (f"(?<!(?:{_alt(LETTERED)}|[Rr]ev{_ANY}){_W})(?<![\\p{{L}}\\p{{M}}\\p{{N}}.{DOT}_])\\p{{Lu}}", f"{_W}?\\p{{Lu}}"),
+    (f"\\p{{Lu}}{_ANY}{_W}?\\p{{Lu}}", f"{_W}?\\p{{Lu}}\\p{{Ll}}"),
+    (f"{_ANY}\\p{{Lu}}", f"{_W}+\\p{{Ll}}"),
+    (f"{_B}\\p{{Ll}}", f"{_W}+\\p{{Ll}}"),
     # German days and ordinals
-    _dot(f"{_B}{_alt(ORDINAL)}{_W}\\d{{1,3}}", f"{_W}+\\p{{L}}"),
-    _dot("(?<![\\p{L}\\p{N}.,])\\d{1,2}", f"{_W}+{_MONTHS}\\b"),
+    (f"{_B}{_alt(ORDINAL)}{_W}\\d{{1,3}}", f"{_W}+\\p{{L}}"),
+    ("(?<![\\p{L}\\p{N}.,])\\d{1,2}", f"{_W}+{_MONTHS}\\b"),
     # abbreviations that may end a sentence but don't before what follows here
-    _dot(f"{_B}(?:{_alt(MAYBE)}|т{DOT} ?[дп])", f"{_W}+(?:[\\p{{Ll}}–—-]|[(\\[\"“«„]\\p{{Ll}})"),
+    (f"{_B}(?:{_alt(MAYBE)}|[pаaPA]{_ANY}[mM]|т{_ANY} ?[дп])", f"{_W}+(?:[\\p{{Ll}}–—-]|[(\\[\"“«„]\\p{{Ll}})"),
     # a time of day that opens a sentence
-    _dot(f"{_B}(?:Around|around|At|By|Before|After|Since|From)\\s\\d{{1,2}}(?::\\d\\d)?\\s[ap]{DOT}m", f"{_W}+\\S"),
-]
+    (f"{_B}(?:Around|around|At|By|Before|After|Since|From)\\s\\d{{1,2}}(?::\\d\\d)?\\s[ap]{_ANY}m", f"{_W}+\\S"),
+)
 #: Marks in URLs, masked only where a text has one: a mark with a further URL character behind it.
 URLS = [
     (f"((?:https?://|ftp://|\\bwww(?=\\.[a-z]))[!-~{MASKS}&&[^.?!]]*|\\G(?!\\A)[!-~{MASKS}&&[^.?!]]*)\\.(?=[a-z0-9/_%#&=~-])", f"$1{DOT}"),
@@ -102,21 +104,21 @@ URLS = [
 ]
 #: A sentence never starts with a dash or a closing or separating mark; after a closing quotation mark or an ellipsis
 #: a lower-case letter goes on with the sentence.
-_GOES_ON = f"[,;:)\\]»”]|[–—-]{_W}|(?<=[\"”’'»›…]{_W}{{1,2}}|\\.\\.{_W}{{1,2}})\\p{{Ll}}"
-#: Single characters are looked at first, the dearer look-behinds only where they fit.
+_GOES_ON = f"[,;:)\\]»”]|[–—-]{_W}|(?<=[\"”“’'»›…]{_W}{{1,2}}|\\.\\.{_W}{{1,2}})\\p{{Ll}}"
+#: Where a sentence may end: single characters are looked at first, the dearer look-behinds only where they fit.
 SPLIT = (
-    f"(?<=[{_TERM}{_CLOSE}])(?![{_CLOSE}{_TERM}]|{_W}[»{_TERM}])(?:"
+    f"(?<=[{_TERM}{_CLOSE}。！？｡।॥؟۔{''.join(sorted({w[-1] for w in THAI}))}])(?:"
     # Latin, Cyrillic and other scripts with spaces
-    f"(?={_W}+(?!{_GOES_ON})\\S)(?<=[{_TERM}](?:{_W}?»)?[{_CLOSE}]{{0,3}})"
+    f"(?![{_CLOSE}{_TERM}]|{_W}[»{_TERM}])(?:(?={_W}+(?!{_GOES_ON})\\S)(?<=[{_TERM}](?:{_W}?»)?[{_CLOSE}]{{0,3}})"
     # the space left out
-    f"|(?=\\p{{Lu}}[\\p{{Ll}} '’]|[¿¡«“„]|\\p{{Lo}})(?<=[\\p{{Ll}}\\p{{Lo}}\\p{{M}}\\p{{N}})\\]»”`%º²][{_TERM}][{_CLOSE}]{{0,2}})"
+    f"|(?=\\p{{Lu}}[\\p{{Ll}} '’]|[¿¡«„]|\\p{{Lo}})(?<=[\\p{{Ll}}\\p{{Lo}}\\p{{M}}\\p{{N}})\\]»”`%º²][{_TERM}][{_CLOSE}]{{0,2}})"
     "|(?=\\p{Lu}|`)(?<=[\\p{Ll}\\p{M})\\]»”`][!?]))"
     # Chinese and Japanese; a closing quotation mark goes on unless white space follows
-    "|(?<=[。！？｡）)】」』”’\"])(?![。！？｡…）)】」』”’\"»])(?:(?<=[。！？｡][）)】]{0,2})(?=\\s*\\S)|(?=\\s+\\S)(?<=[。！？｡][）)】]{0,2}[」』”’\"]{1,2}[）)]{0,2}))"
+    "|(?![。！？｡…）)】」』”’\"»])(?:(?<=[。！？｡][）)】]{0,2})(?=\\s*\\S)|(?=\\s+\\S)(?<=[。！？｡][）)】]{0,2}[」』”’\"]{1,2}[）)]{0,2}))"
     # Devanagari, Arabic
-    f"|(?<=[।॥؟۔{_CLOSE}])(?<=[।॥؟۔][{_CLOSE}]{{0,3}})(?![{_CLOSE}।॥؟۔!?])(?=\\s*\\S)"
+    f"|(?![{_CLOSE}।॥؟۔!?])(?<=[।॥؟۔][{_CLOSE}]{{0,3}})(?=\\s*\\S)"
     # Thai has no mark; a particle before a space closes the sentence
-    f"|(?<=[{''.join(sorted({w[-1] for w in THAI}))}])(?=[ \\t\u00a0\\n]+\\S)(?<={_alt(THAI)})"
+    f"|(?=[ \\t\u00a0\\n]+\\S)(?<={_alt(THAI)}))"
 )
 
 
@@ -124,25 +126,30 @@ def _r(s: str) -> Column:
     return F.lit(s)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def mask_code(item: Column) -> Column:
     """Marks between two backticks of a line masked, one for one."""
 
-    def line(s: Column) -> Column:
-        parts = F.split(s, "`", -1)
+    def join(parts: Column) -> Column:
         return F.array_join(F.transform(parts, lambda p, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), F.translate(p, MARKS, MASKS)).otherwise(p)), "`")
 
-    return F.when(F.contains(item, F.lit("`")), line(item)).otherwise(item)
+    return F.when(F.contains(item, F.lit("`")), _let(F.split(item, "`", -1), join)).otherwise(item)
 
 
 def mask(item: Column) -> Column:
-    item = mask_code(item)
-    linked = item
-    for pattern, to in URLS:
-        linked = F.regexp_replace(linked, _r(pattern), _r(to))
-    item = F.when(item.rlike("://|www\\."), linked).otherwise(item)
-    for pattern, to in RULES:
-        item = F.regexp_replace(item, _r(pattern), _r(to))
-    return item
+    """The item, a column, with private-use characters for the marks that end no sentence."""
+
+    def links(t: Column) -> Column:
+        linked = t
+        for pattern, to in URLS:
+            linked = F.regexp_replace(linked, _r(pattern), _r(to))
+        return F.when(F.contains(t, F.lit("://")) | F.contains(t, F.lit("www.")), linked).otherwise(t)
+
+    return F.regexp_replace(_let(mask_code(item), links), _r(DOTS), _r(DOT))
 
 
 def _offsets(parts: Column, base: Column) -> Column:

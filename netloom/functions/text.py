@@ -77,9 +77,8 @@ def tier2(text: Column) -> Column:
     return _first(text, KEYWORDS, 1)
 
 
-def assign_class(layer: Column, text: Column) -> Column:
-    """struct(fc_name, confidence, method): layer first, then label."""
-    one, two = tier1(layer), tier2(text)
+def assign_class(one: Column, two: Column) -> Column:
+    """struct(fc_name, confidence, method) from the classes that layer (tier1) and label (tier2) give, columns of their own: layer first."""
     pick = lambda a, b, c, d: F.when(one == "fc_misc", a).when(one.isNotNull(), b).when(two.isNotNull(), c).otherwise(d)
     return F.struct(pick(F.lit("fc_misc"), one, two, F.lit("fc_misc")).alias("fc_name"), pick(F.lit(1.0), F.lit(0.9), F.lit(0.5), F.lit(0.0)).alias("confidence"), pick(F.lit("negative_evidence"), F.lit("tier1_layer_pattern"), F.lit("tier2_annotation_keyword"), F.lit("unclassified")).alias("method"))
 

@@ -169,7 +169,8 @@ _NEG = ", ".join("'" + n.lower() + "'" for n in T.NEGATIVE_LAYERS)
 @query(f"WITH c AS (SELECT entity_id, CASE WHEN lower(trim(layer)) IN ({_NEG}) THEN 'fc_misc' ELSE {_case('layer', T.LAYER_PATTERNS, 1)} END one, {_case('text', T.KEYWORDS, 1)} two FROM intermediate_pipeline_dump) SELECT entity_id, coalesce(one, two, 'fc_misc') fc_name, CASE WHEN one = 'fc_misc' THEN 1.0::DOUBLE WHEN one IS NOT NULL THEN 0.9::DOUBLE WHEN two IS NOT NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END confidence, CASE WHEN one = 'fc_misc' THEN 'negative_evidence' WHEN one IS NOT NULL THEN 'tier1_layer_pattern' WHEN two IS NOT NULL THEN 'tier2_annotation_keyword' ELSE 'unclassified' END AS method FROM c")
 def classify(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "intermediate_pipeline_dump")
-    return e.select("entity_id", T.assign_class(F.col("layer"), F.col("text")).alias("c")).select("entity_id", "c.fc_name", "c.confidence", "c.method")
+    tiers = e.select("entity_id", T.tier1(F.col("layer")).alias("one"), T.tier2(F.col("text")).alias("two"))
+    return tiers.select("entity_id", T.assign_class(F.col("one"), F.col("two")).alias("c")).select("entity_id", "c.fc_name", "c.confidence", "c.method")
 
 
 @query(_V.rstrip() + ", p AS (SELECT p_partkey id, p_type || ' ' || p_size || ' FO ' || (p_size % 7) || 'C 12 mm ' || CASE WHEN p_size % 3 = 0 THEN 'FDT planned feeder' WHEN p_size % 3 = 1 THEN 'NRO fat built' ELSE 'G657A2 aerial' END t, p_size s FROM part) SELECT id, CAST(s AS VARCHAR) fibres, CAST(s % 7 AS VARCHAR) capacity, '12' diameter, CASE WHEN s % 3 = 0 THEN 'FDT' WHEN s % 3 = 1 THEN 'NRO' END kind, CASE WHEN s % 3 = 0 THEN 'PROPOSED' WHEN s % 3 = 1 THEN 'BUILT' END status, CASE WHEN s % 3 = 0 THEN 'TRANSPORT' END cable, CASE WHEN s % 3 = 2 THEN 'G657A2' END fibre FROM p")

@@ -73,8 +73,10 @@ def _weight(token: Column, idf: Column) -> Column:
 
 def repairs(distinct: DataFrame, vocab: DataFrame) -> DataFrame:
     """(field_name, token, ref, sim): each distinct token with the vocabulary's tokens it may be, from (field_name, token) and (field_name, ref)."""
-    key = lambda df, c: df.select("*", F.explode(_deletions(F.substring(F.col(c), 1, 40))).alias("k"))
-    near = key(distinct, "token").join(key(vocab, "ref"), ["field_name", "k"]).select("field_name", "token", "ref").distinct()
+    key = lambda df, c: df.select("*", F.explode(_deletions(F.col(c))).alias("k"))
+    # a token longer than the longest reference token by more than the room for slips is none of them
+    longest = (vocab.agg(F.max(F.length("ref"))).first()[0] or 0) + 3
+    near = key(distinct.where(F.length("token") <= longest), "token").join(key(vocab, "ref"), ["field_name", "k"]).select("field_name", "token", "ref").distinct()
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     d = F.levenshtein("token", "ref").cast("double")
     # two letters that changed places are one slip
@@ -113,7 +115,7 @@ def map_values(values: DataFrame, vocabulary: DataFrame, phrase_cols: list[str])
     soft = soft.select("field_name", "value", "canon_value", "phrase", "lead", (F.col("dot") / F.greatest("mass", F.lit(1e-9))).alias("of_value"), (F.col("dot") / F.sqrt(F.col("mass") * F.col("pmass") + 1e-12)).alias("cosine"))
     # a whole value without its spaces against the few phrases of its field, for words run together or torn apart
     whole = v.select("field_name", "value", F.array_join("tok", "").alias("a")).join(F.broadcast(phrases.select("field_name", "canon_value", "phrase", F.array_join("ptok", "").alias("b"))), "field_name")
-    whole = whole.select("field_name", "value", "canon_value", "phrase", (1 - F.levenshtein(F.substring("a", 1, 200), "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1))).alias("alike"), (F.length("b") > 3).alias("long"))
+    whole = whole.select("field_name", "value", "canon_value", "phrase", F.when(F.length("a") > 2 * F.length("b") + 8, 0.0).otherwise(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1))).alias("alike"), (F.length("b") > 3).alias("long"))
     ranked = whole.join(soft, ["field_name", "value", "canon_value", "phrase"], "left")
     score = F.greatest(F.when(F.col("lead") >= 0.6, 0.6 * F.least(F.col("of_value"), F.lit(1.0)) + 0.4 * F.least(F.col("cosine"), F.lit(1.0))), F.when(F.col("long") & (F.col("alike") >= ACCEPT_WHOLE), F.col("alike")), F.lit(0.0))
     ranked = ranked.withColumn("score", score).groupBy("field_name", "value", "canon_value").agg(F.max("score").alias("score"), F.max("alike").alias("alike"))

@@ -284,11 +284,13 @@ def drift_events(raw: DataFrame, key_pattern: str) -> DataFrame:
 
 
 def lineages(raw: DataFrame, events: DataFrame, standard: list[str]) -> DataFrame:
-    """(file_id, path, canon): what every field of every file is called in the one table.
+    """(file_id, path, canon, rank): what every field of every file is called in the one table.
 
     Fields of a series that follow each other by renames are one lineage. It takes the standard name it ever had
     that stands first in the list; one that never had any takes the standard name its own name mostly leads to in other series, or else its first
-    name. Lineages are followed to their first segment by pointer jumping, so long chains need few rounds.
+    name. Lineages are followed to their first segment by pointer jumping, so long chains need few rounds. `rank` tells
+    how good a claim it is where several fields of a file lead to one name: 0 for the field's own name, 1 for the
+    standard name its lineage had, 2 for a vote, 3 for a first name.
     """
     files = cut(file_pairs(raw))
     stats = cut(field_stats(raw, "").select("file_id", "path").join(files.select("file_id", "series", "seq"), "file_id"))
@@ -310,31 +312,58 @@ def lineages(raw: DataFrame, events: DataFrame, standard: list[str]) -> DataFram
     per = cut(named.groupBy("root").agg(std.alias("std"), F.min_by("path", F.struct("seq", "path")).alias("first_name")))
     votes = named.join(per.where("std IS NOT NULL"), "root").where(rank == 0).groupBy("path", "std").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max_by("std", F.struct("n", "std")).alias("vote"))
     by_vote = named.join(votes, "path").groupBy("root").agg(F.min_by("vote", F.struct("seq", "path")).alias("vote"))
-    canon = per.join(by_vote, "root", "left").select("root", F.coalesce("std", "vote", "first_name").alias("canon"))
+    canon = per.join(by_vote, "root", "left").select("root", F.coalesce("std", "vote", "first_name").alias("canon"), F.when(F.col("std").isNotNull(), 1).when(F.col("vote").isNotNull(), 2).otherwise(3).alias("rank"))
     # each file's field belongs to the latest segment of its name that had begun
     marks = stats.select("series", "path", "seq", "file_id", F.lit(None).cast("long").alias("root")).unionByName(named.select("series", "path", "seq", F.lit(None).cast("long").alias("file_id"), "root"))
     w = Window.partitionBy("series", "path").orderBy("seq", F.col("file_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     held = marks.withColumn("root", F.last("root", ignorenulls=True).over(w)).where("file_id IS NOT NULL")
-    return held.join(canon, "root", "left").select("file_id", "path", F.coalesce("canon", "path").alias("canon"))
+    named_as = held.join(canon, "root", "left").withColumn("canon", F.coalesce("canon", "path"))
+    return named_as.select("file_id", "path", "canon", F.when(F.col("path") == F.col("canon"), 0).otherwise(F.col("rank")).alias("rank"))
+
+
+def places(fields: list[tuple[str, str, int]], columns: set[str]) -> tuple[dict[str, str], dict[str, str]]:
+    """(column -> path, path -> key in `more`) of a file's (path, canon, rank): each place to one field, a place to each field.
+
+    The best rank has the name, then the first by name. A field that loses goes to `more` under its own name, before
+    any other that leads there; own names differ, so no two lose for good.
+    """
+    own: set[str] = set()
+    while True:
+        claims: dict[tuple[bool, str], list[tuple[int, str]]] = {}
+        for path, canon, rank in fields:
+            at = (False, path) if path in own else (canon in columns, canon)
+            claims.setdefault(at, []).append((-1 if path in own else rank, path))
+        lost = {path for c in claims.values() for _, path in sorted(c)[1:]}
+        if not lost:
+            return {n: c[0][1] for (is_column, n), c in claims.items() if is_column}, {c[0][1]: n for (is_column, n), c in claims.items() if not is_column}
+        own |= lost
 
 
 def consistent_table(raw: DataFrame, names: DataFrame, columns: dict[str, str]) -> DataFrame:
     """raw_id, series, file_id, line_no, the columns (canonical name -> type) and `more`, a map of what else a line holds.
 
     Lines that aren't whole objects are left out. Values that don't fit a column's type are NULL there (decimal commas
-    are read); of two fields of one file that lead to one name the first by name counts.
+    are read). Of several fields of one file that lead to one name the best rank has it (see lineages), the others stand
+    in `more` under their own names, also where such a name is a column's.
     """
-    per_file = names.where(~F.contains("path", F.lit(SEP))).groupBy("file_id", "canon").agg(F.min("path").alias("path")).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "canon"))).alias("__names"))
-    per_file = cut(per_file)
+    wanted = set(columns)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [places([(f["path"], f["canon"], f["rank"]) for f in fields], wanted) for fields in batch.column(1).to_pylist()]
+            maps = [pa.array([list(g[k].items()) for g in got], pa.map_(pa.string(), pa.string())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *maps], names=["file_id", "__at", "__else"])
+
+    per_file = names.where(~F.contains("path", F.lit(SEP))).groupBy("file_id").agg(F.collect_set(F.struct("path", "canon", "rank")).alias("fields"))
+    per_file = cut(per_file.mapInArrow(place, "file_id long, __at map<string,string>, __else map<string,string>"))
     if per_file.count() <= BROADCAST_FILES:
         per_file = F.broadcast(per_file)
     rows = raw.select("raw_id", "series", "file_id", "line_no", "record").where(F.try_parse_json("record").isNotNull() & F.ltrim("record").startswith("{"))
     m = rows.join(per_file, "file_id", "left").withColumn("__m", F.from_json("record", "map<string,string>"))
-    pairs = F.filter(F.transform(F.map_entries("__m"), lambda e: F.struct(F.try_element_at(F.col("__names"), e["key"]).alias("key"), e["value"].alias("value"))), lambda e: e["key"].isNotNull())
-    m = m.withColumn("__c", F.map_from_entries(pairs))
+    rest = F.filter(F.transform(F.map_entries("__m"), lambda e: F.struct(F.try_element_at(F.col("__else"), e["key"]).alias("key"), e["value"].alias("value"))), lambda e: e["key"].isNotNull())
 
     def typed(name: str, kind: str):
-        v = F.try_element_at("__c", F.lit(name))
+        v = F.try_element_at("__m", F.try_element_at("__at", F.lit(name)))
         return (v if kind == "string" else F.replace(F.trim(v), F.lit(","), F.lit(".")).try_cast("double").try_cast(kind) if kind != "boolean" else v.try_cast(kind)).alias(name.lower())
 
-    return m.select("raw_id", "series", "file_id", "line_no", *[typed(n, k) for n, k in columns.items()], F.map_filter("__c", lambda k, v: ~k.isin(list(columns))).alias("more"))
+    return m.select("raw_id", "series", "file_id", "line_no", *[typed(n, k) for n, k in columns.items()], F.map_from_entries(rest).alias("more"))

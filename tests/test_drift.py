@@ -60,3 +60,21 @@ def test_consistent_table(spark):
     assert sorted(r["x"] for r in t if r["file_id"] in (2, 3)) == sorted([i + 0.5 for i in range(6)] * 2)
     # the first file's x is another type, so it is another field: removed and added, not renamed
     assert {r["x"] for r in t if r["file_id"] == 1} == {None} and all(set(r["more"]) == {"odd", "x"} for r in t if r["file_id"] == 1)
+
+
+def test_every_field_of_a_clash_has_a_place(spark):
+    half, triple = (lambda i: i + 0.5), (lambda i: i * 3.0)
+    files = [("s", 1, 1, boxes(X=half)), ("s", 2, 2, boxes(xx=half)), ("w", 4, 1, boxes(X=half)), ("w", 5, 2, boxes(A1=half))]  # xx and A1 lead to X
+    files += [("t", 3, 1, boxes(X=half, xx=triple)), ("v", 6, 1, boxes(A1=triple, X=half, xx=lambda i: i))]
+    raw = spark.createDataFrame(lines(files), SCHEMA)
+    names = D.lineages(raw, D.drift_events(raw, BOX_CODE), ["CODE", "X"])
+    got = {(r["file_id"], r["line_no"]): (r["x"], r["more"]) for r in D.consistent_table(raw, names, {"CODE": "string", "X": "double"}).collect()}
+    assert all(got[f, i] == (i + 0.5, {}) for f in (1, 2, 4, 5) for i in range(6))
+    assert all(got[3, i] == (i + 0.5, {"xx": str(i * 3.0)}) for i in range(6))
+    assert all(got[6, i] == (i + 0.5, {"A1": str(i * 3.0), "xx": str(i)}) for i in range(6))
+
+
+def test_places():
+    # X loses CODE and stands in `more`, so q can have the column X; b loses to a's own name, so c can't have b's
+    fields = [("CODE", "CODE", 0), ("X", "CODE", 1), ("q", "X", 2), ("a", "a", 0), ("b", "a", 3), ("c", "b", 3)]
+    assert D.places(fields, {"CODE", "X"}) == ({"CODE": "CODE", "X": "q"}, {"X": "X", "a": "a", "b": "b", "c": "c"})

@@ -160,15 +160,17 @@ def label_scores(components: DataFrame, layouts: DataFrame) -> DataFrame:
 def duplicate_lines(lines: DataFrame, tol: float = 0.001) -> DataFrame:
     """lines (id, layer, points, text) without those that repeat another of their layer: vertices within tol of each other.
 
-    Of such lines the one with a text stays, then the least id. Candidates share a rounded box corner, also after a shift by half a cell.
+    Of such lines the one with a text stays, then the least id. A line meets those whose box corner lies in the cell of its
+    own or in a cell within tol of it, so each pair is compared once.
     """
     b = geo.bbox(F.col("points"))
-    size = tol * 64
-    corner = F.array(*[F.concat_ws(":", F.lit(str(s)), cell(b["xmin"] + s, size).cast("string"), cell(b["ymin"] + s, size).cast("string")) for s in (0.0, size / 2)])
-    g = lines.select("id", "layer", "points", (F.col("text").isNull() | (F.col("text") == "")).alias("bare"), F.explode(corner).alias("__k"))
-    a, c = g.select("layer", "__k", *[F.col(k).alias(f"a_{k}") for k in ("id", "points", "bare")]), g.select("layer", "__k", *[F.col(k).alias(f"c_{k}") for k in ("id", "points", "bare")])
+    size, reach = tol * 64, tol * 1.0001
+    near = lambda v: F.array_distinct(F.array(cell(v - reach, size), cell(v + reach, size)))
+    g = lines.select("id", "layer", "points", (F.col("text").isNull() | (F.col("text") == "")).alias("bare"), b["xmin"].alias("__x"), b["ymin"].alias("__y"))
+    a = g.select("layer", cell(F.col("__x"), size).alias("__gx"), cell(F.col("__y"), size).alias("__gy"), *[F.col(k).alias(f"a_{k}") for k in ("id", "points", "bare")])
+    c = g.select("layer", F.explode(near(F.col("__x"))).alias("__gx"), "__y", *[F.col(k).alias(f"c_{k}") for k in ("id", "points", "bare")]).withColumn("__gy", F.explode(near(F.col("__y")))).drop("__y")
     better = F.struct("a_bare", "a_id") < F.struct("c_bare", "c_id")
-    gone = a.join(c, ["layer", "__k"]).where(better & (geo.hausdorff(F.col("a_points"), F.col("c_points")) < tol)).select(F.col("c_id").alias("id")).distinct()
+    gone = a.join(c, ["layer", "__gx", "__gy"]).where(better & (geo.hausdorff(F.col("a_points"), F.col("c_points")) < tol)).select(F.col("c_id").alias("id")).distinct()
     return lines.join(gone, "id", "left_anti")
 
 

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -136,3 +137,16 @@ def test_tiles_split_hot(spark):
     assert sum(r["count"] for r in t) == 500 and max(r["count"] for r in t) <= 60
     same = R.split_tiles(R.tiles(spark.createDataFrame([(i, 1.0, 1.0) for i in range(9)], PTS), 3), 3)
     assert same.count() == 9
+
+
+def test_near_duplicate_lines_at_cell_corners(spark):
+    # one corner straddles a line of the plain grid in x and of the grid shifted by half a cell in y, the next the other way round
+    random.seed(6)
+    tol = 1.0
+    corners = [(64.0 * i + dx, 64.0 * j + dy) for i in range(-2, 3) for j in range(-2, 3) for dx in (0.0, 32.0, 7.0) for dy in (0.0, 32.0, 7.0)]
+    off = [(x + random.uniform(-0.6, 0.6), y + random.uniform(-0.6, 0.6)) for x, y in corners for _ in range(3)]
+    lines = [(k, "l", [(x, y), (x + 5.0, y + 9.0)], None if k % 3 else "t") for k, (x, y) in enumerate(off)]
+    d = lambda p, q: math.dist(p[2][0], q[2][0])
+    gone = {q[0] for p in lines for q in lines if (p[3] is None, p[0]) < (q[3] is None, q[0]) and d(p, q) < tol}
+    df = spark.createDataFrame(lines, "id long, layer string, points array<struct<x double, y double>>, text string")
+    assert {r["id"] for r in J.duplicate_lines(df, tol).collect()} == {r[0] for r in lines} - gone

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators.drift import assign
 from netloom.operators.spatial import near_pairs
 from netloom.session import cut
 
-#: Candidate edges of one component up to which it is solved exactly in one task; larger ones are matched in rounds.
-EXACT_EDGES = 20_000
+#: Candidate edges of one component up to which it is solved exactly in one task: all there can be. A session that rather has
+#: larger ones matched greedily in rounds (fewer pairs, more distance) sets it lower.
+EXACT_EDGES = (1 << 63) - 1
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -100,11 +102,57 @@ def greedy_matching(candidates: DataFrame, one_set: bool = False) -> DataFrame:
     return (taken if taken is not None else candidates).select("left_id", "right_id", "d")
 
 
+def assign_sparse(edges: list[list[tuple[int, float]]], n_right: int) -> list[int]:
+    """The right of each left, or -1: most pairs and, among those, least total distance.
+
+    edges: for each left its (right, d >= 0). Lefts come in one by one, each by the cheapest alternating path (Dijkstra over
+    potentials) to a free right or else to the left that is best given up; room is that of the edges.
+    """
+    top = max((d for e in edges for _, d in e), default=0.0)
+    give_up = 2.0 * (min(len(edges), n_right) + 1) * top + 1.0  # dearer than any path saves
+    u, v, right_of, left_of = [0.0] * len(edges), [0.0] * n_right, [-1] * len(edges), [-1] * n_right
+    for start in range(len(edges)):
+        dist: dict[int, float] = {}
+        prev: dict[int, int] = {}
+        done, heap, i, at = [], [], start, 0.0
+        seen: set[int] = set()
+        least, loser = float("inf"), start
+        while True:
+            if at + give_up - u[i] < least:
+                least, loser = at + give_up - u[i], i
+            for j, d in edges[i]:
+                to = at + d - u[i] - v[j]
+                if j not in seen and to < dist.get(j, float("inf")):
+                    dist[j], prev[j] = to, i
+                    heapq.heappush(heap, (to, j))
+            while heap and heap[0][1] in seen:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= least:
+                end, j = least, right_of[loser]
+                right_of[loser] = -1
+                break
+            at, j = heapq.heappop(heap)
+            if left_of[j] < 0:
+                end = at
+                break
+            seen.add(j)
+            done.append((j, left_of[j]))
+            i = left_of[j]
+        u[start] += end
+        for k, owner in done:
+            u[owner] += end - dist[k]
+            v[k] -= end - dist[k]
+        while j >= 0:
+            i = prev[j]
+            left_of[j], right_of[i], j = i, j, right_of[i]
+    return right_of
+
+
 def best_assignment(candidates: DataFrame) -> DataFrame:
     """(left_id, right_id, d): the one-to-one assignment with most pairs and, among those, least total distance.
 
-    The cost is a sum, so every component of the candidate graph is solved by itself, exactly, in one task up to
-    EXACT_EDGES edges. Larger components are matched greedily in rounds (fewer pairs are possible there).
+    The cost is a sum, so every component of the candidate graph is solved by itself, exactly, in one task, however large
+    it is (see EXACT_EDGES).
     """
     c = cut(candidates.select("left_id", "right_id", "d").groupBy("left_id", "right_id").agg(F.min("d").alias("d")))
     key = lambda side, col: F.concat(F.lit(side), F.col(col).cast("string"))
@@ -116,11 +164,10 @@ def best_assignment(candidates: DataFrame) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         lefts, rights = sorted(pdf.left_id.unique()), sorted(pdf.right_id.unique())
         at_l, at_r = {v: i for i, v in enumerate(lefts)}, {v: i for i, v in enumerate(rights)}
-        out_of_reach = float(pdf.d.sum()) + 1.0
-        cost = [[out_of_reach] * (len(rights) + len(lefts)) for _ in lefts]
+        edges: list[list[tuple[int, float]]] = [[] for _ in lefts]
         for a, b, d in zip(pdf.left_id, pdf.right_id, pdf.d):
-            cost[at_l[a]][at_r[b]] = min(cost[at_l[a]][at_r[b]], d)
-        got = [(lefts[i], rights[j], cost[i][j]) for i, j in enumerate(assign(cost)) if j < len(rights) and cost[i][j] < out_of_reach]
+            edges[at_l[a]].append((at_r[b], d))
+        got = [(lefts[i], rights[j], dict(edges[i])[j]) for i, j in enumerate(assign_sparse(edges, len(rights))) if j >= 0]
         return pd.DataFrame(got, columns=["left_id", "right_id", "d"])
 
     kinds = ", ".join(f"{f} {c.schema[f].dataType.simpleString()}" for f in ("left_id", "right_id", "d"))

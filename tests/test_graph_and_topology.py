@@ -150,3 +150,27 @@ def test_near_duplicate_lines_at_cell_corners(spark):
     gone = {q[0] for p in lines for q in lines if (p[3] is None, p[0]) < (q[3] is None, q[0]) and d(p, q) < tol}
     df = spark.createDataFrame(lines, "id long, layer string, points array<struct<x double, y double>>, text string")
     assert {r["id"] for r in J.duplicate_lines(df, tol).collect()} == {r[0] for r in lines} - gone
+
+
+def test_large_components_are_assigned_exactly(spark):
+    from netloom.operators.drift import assign
+
+    random.seed(8)
+    n = 150  # one crowd, 22 500 edges
+    cost = [[round(random.uniform(0, 25), 3) for _ in range(n)] for _ in range(n)]
+    rows = [(i, j, cost[i][j]) for i in range(n) for j in range(n)]
+    got = R.best_assignment(spark.createDataFrame(rows, "left_id long, right_id long, d double")).collect()
+    assert len({r["left_id"] for r in got}) == len({r["right_id"] for r in got}) == len(got) == n
+    assert sum(r["d"] for r in got) == pytest.approx(sum(cost[i][j] for i, j in enumerate(assign(cost))))
+
+
+def test_sparse_assignment_brute_force():
+    for seed in range(300):
+        rng = random.Random(seed)
+        n, m = rng.randrange(1, 6), rng.randrange(1, 6)
+        e = {(i, j): float(rng.randrange(9)) for i in range(n) for j in range(m) if rng.random() < 0.5}
+        got = R.assign_sparse([[(j, d) for (a, j), d in e.items() if a == i] for i in range(n)], m)
+        pairs = [(i, j) for i, j in enumerate(got) if j >= 0]
+        assert len({j for _, j in pairs}) == len(pairs)
+        best = max((len(s), -sum(e[x] for x in s)) for k in range(min(n, m) + 1) for s in itertools.combinations(e, k) if len({x[0] for x in s}) == len({x[1] for x in s}) == k)
+        assert (len(pairs), -sum(e[x] for x in pairs)) == best

@@ -91,3 +91,38 @@ def block_classes(spark: SparkSession, d: str) -> DataFrame:
 def merged_groups(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount > 0.09").select(F.col("l_suppkey").cast("string").alias("group"), F.col("l_orderkey").alias("member"))
     return R.merge_groups(g)
+
+
+@query()
+def merged_groups_all(spark: SparkSession, d: str) -> DataFrame:
+    """merged_groups over every line: suppliers linked by any order."""
+    return R.merge_groups(table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("group"), F.col("l_orderkey").alias("member")))
+
+
+@query("SELECT s_suppkey id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey IS NOT NULL)")
+def isolated_nodes_all(spark: SparkSession, d: str) -> DataFrame:
+    """isolated_nodes over every line."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").cast("string").alias("code"))
+    return R.isolated_nodes(s, "code", table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("a")), ["a"]).select("id")
+
+
+@query()
+def candidate_consistency_all(spark: SparkSession, d: str) -> DataFrame:
+    """candidate_consistency of the labels that label_assignment assigns."""
+    on = F.col("status") == "selected"
+    c = S.label_assignment(spark, d).select(F.col("label_id").cast("string").alias("annotation_key"), F.when(on, F.col("target_id").cast("string")).alias("target_code"), on.cast("int").alias("selected"), "status")
+    return A.A.candidate_consistency(c, V.node(spark, d).select(F.col("id").cast("string").alias("code")), ["selected", "outside_tolerance", "multiple_optima", "assignment_conflict"])
+
+
+@query()
+def provenance_coverage_all(spark: SparkSession, d: str) -> DataFrame:
+    """provenance_coverage of every field of the boxes, by what field_provenance records."""
+    b = table(spark, d, "boite")
+    actual = spark.createDataFrame([("BOITE", c) for c in b.columns], "fc string, field string")
+    return A.A.provenance_coverage(actual, A.field_provenance(spark, d).select("fc", "field", "provenance"), sorted(set(A.KINDS.values())))
+
+
+@query(f"WITH r AS ({A.SQL['acceptance_rules']}), n AS (SELECT count(*) FILTER (WHERE status <> 'PASS' AND severity IN ('C', 'E')) errors, count(*) FILTER (WHERE status <> 'PASS' AND severity = 'W') warnings, count(*) FILTER (WHERE status = 'PASS') rules_passed, count(*) FILTER (WHERE status <> 'PASS') rules_failed FROM r) SELECT *, CASE WHEN errors > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'QUARANTINE' ELSE 'PASS' END verdict FROM n")
+def verdict_all(spark: SparkSession, d: str) -> DataFrame:
+    """verdict of the acceptance rules."""
+    return verdict(A.acceptance_rules(spark, d))

@@ -1,0 +1,34 @@
+"""The queries over whole tables, against the tables themselves."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as E
+
+SF = os.environ.get("NETLOOM_TEST_SF", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def test_every_line_counts(spark):
+    q = E.queries()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_orderkey").distinct().collect()
+    up = {}
+
+    def find(k):
+        while up.setdefault(k, k) != k:
+            k = up[k]
+        return k
+
+    for s, o in lines:
+        a, b = find(("s", s)), find(("o", o))
+        up[max(a, b)] = min(a, b)
+    want, got = {}, {}
+    for s in {s for s, _ in lines}:
+        want.setdefault(find(("s", s)), set()).add(str(s))
+    for r in q["merged_groups_all"](spark, SF).collect():
+        got.setdefault(r["merged"], set()).add(r["group"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert {(r["problem"], r["n"]) for r in q["candidate_consistency_all"](spark, SF).collect()} == {(p, 0) for p in ("bad_status", "several_selected", "unresolved_code")}
+    fields = {(r["field"].lower(), r["state"]) for r in q["provenance_coverage_all"](spark, SF).collect()}
+    assert {f for f, _ in fields} == set(spark.read.parquet(f"{SF}/boite.parquet").columns) and ("code", "ok") in fields and ("fid", "missing") in fields

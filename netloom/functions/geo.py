@@ -20,12 +20,23 @@ def point(x: Column, y: Column) -> Column:
 # --- text forms -----------------------------------------------------------------------------------------------------
 
 
+def fixed(c: Column, decimals: int) -> Column:
+    """The number with so many decimals, of the double's exact value: whole and broken part are written apart, as a
+    formatter starts from the shortest decimal that gives the double.
+    """
+    c = c.cast("double")
+    whole = F.floor(F.abs(c))
+    part = F.format_string(f"%.{decimals}f", F.abs(c) - whole)
+    digits = F.concat(F.when(c < 0, "-").otherwise(""), (whole + F.substring(part, 1, 1).cast("bigint")).cast("string"), F.substr(part, F.lit(2)))
+    return F.when(F.abs(c) < 1e15, digits).otherwise(F.format_string(f"%.{decimals}f", c))
+
+
 def _xy(p: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f %.{decimals}f", p["x"], p["y"])
+    return F.concat(fixed(p["x"], decimals), F.lit(" "), fixed(p["y"], decimals))
 
 
 def wkt_point(x: Column, y: Column, decimals: int = 12) -> Column:
-    return F.format_string(f"POINT (%.{decimals}f %.{decimals}f)", x.cast("double"), y.cast("double"))
+    return F.concat(F.lit("POINT ("), _xy(point(x, y), decimals), F.lit(")"))
 
 
 def wkt_linestring(points: Column, decimals: int = 12) -> Column:
@@ -131,11 +142,11 @@ def area(points: Column) -> Column:
 
 
 def aspect_ratio(points: Column) -> Column:
-    """Longer by shorter side of the box; infinite with one side under 1e-12, 1 with both."""
+    """Longer by shorter side of the box; infinite with one side under 1e-12, 1 with both and for fewer than three points."""
     b = bbox(points)
     w, h = b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]
     longer, shorter = F.greatest(w, h), F.least(w, h)
-    return F.when(longer < 1e-12, 1.0).when(shorter < 1e-12, float("inf")).otherwise(longer / shorter)
+    return F.when((F.size(points) < 3) | (longer < 1e-12), 1.0).when(shorter < 1e-12, float("inf")).otherwise(longer / shorter)
 
 
 def hausdorff(a: Column, b: Column) -> Column:

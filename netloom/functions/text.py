@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,10 +48,24 @@ STATUS_SYNONYMS = {"IN_PROGRESS": "UNDER_CONSTRUCTION", "PLANNED": "PROPOSED"}
 CABLE_SYNONYMS = {"TRUNK": "TRANSPORT", "BACKBONE": "TRANSPORT", "FEEDER": "TRANSPORT", "DISTRIBUTION": "DISTRIBUTION", "LATERAL": "DISTRIBUTION", "ACCESS": "DISTRIBUTION", "DROP": "RACCORDEMENT", "RISER": "VERTICALITE"}
 FAMILIES = [(r"DMPH-\d+\.\d+\.[A-Z]\d{2}", "fat", "BOITE"), (r"MR\.DMPH\.P\d+", "pole", "PTECH"), (r"EXT\.MR\.\w+\.\w+\.\w+\.P\d+", "pole_ext", "PTECH")]
 LAYOUT_ROLES = [(r"TOPOLOGY|SPLICING|SCHEMATIC|DIAGRAM", "topology"), (r"LEGEND|CABLE[ _-]*TYPE|SYMBOL", "legend"), (r"FDT[ _-]*LAYOUT|EQUIPMENT", "equipment"), (r"^(?:FDT[-_ ]?(?:ALL|\d+)|PLAN|NETWORK)", "plan")]
+#: Parts of block names and the class they mean, in the order they are tried.
+BLOCK_CLASSES = [
+    (["chamber", "manhole", "handhole", "pole", "anchor", "guy", "vault", "trench"], "PTECH"),
+    (["box", "closure", "fat", "fdt", "cto", "nap", "dp", "mdu", "sdu", "ont", "pedestal", "cabinet", "splice", "splitter", "patch", "panel", "terminal"], "BOITE"),
+    (["nro", "pm", "co", "exchange", "hub", "pop", "shelter", "node"], "SITE"),
+]
 FRAGMENT_LAYERS = [(r"fdt", "SITE", "PM"), (r"^fat\s*sp$", "BOITE", "PBO")]
 REPRESENTATIONS = {"INSERT": "block", "CIRCLE": "circle", "TEXT": "text", "MTEXT": "text", "ATTRIB": "text", "AGGREGATE": "fragment"}
-#: Upper-case accented letters and their plain forms, for columns without a collation.
-ACCENTED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "AAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters of Latin script with marks and the plain letter each is composed of, by the Unicode decomposition."""
+    pairs = [(chr(k), unicodedata.normalize("NFKD", chr(k))[0]) for k in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
+    kept = [(a, b) for a, b in pairs if a != b and b.isascii()]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
+ACCENTED, PLAIN = _plain_letters()
 
 
 def _first(c: Column, patterns: list[tuple], value: int) -> Column:
@@ -70,6 +86,7 @@ def tier1(layer: Column) -> Column:
 
 
 def tier1_geometry(layer: Column) -> Column:
+    """Geometry type that goes with the class of tier1; NULL where there is none."""
     return F.when(~negative(layer), _first(layer, LAYER_PATTERNS, 2))
 
 
@@ -127,7 +144,7 @@ def layout_role(name: Column) -> Column:
 
 def layout_disposition(name: Column) -> Column:
     role = layout_role(name)
-    return F.when(role == "model", "geometry_source").when(role == "plan", "tagging").when((role == "topology") & ~name.rlike("(?i)SPLICING"), "evidence").otherwise("exclude")
+    return F.when(role == "model", "geometry_source").when(role == "plan", "fdt_tagging").when((role == "topology") & ~name.rlike("(?i)SPLICING"), "evidence").otherwise("exclude")
 
 
 def fragment_target(layer: Column) -> Column:
@@ -145,7 +162,8 @@ def normalised(text: Column) -> Column:
 
 
 def unaccented(text: Column) -> Column:
-    return F.translate(F.upper(text), ACCENTED, PLAIN)
+    """Upper case, letters without their marks; what is then beyond ASCII falls away."""
+    return F.regexp_replace(F.translate(F.upper(text), ACCENTED, PLAIN), F.lit("[^\\x00-\\x7F]"), F.lit(""))
 
 
 def is_numeric(text: Column) -> Column:
@@ -174,9 +192,8 @@ def endpoint_grade(d: Column, snap: float, isolation: float) -> Column:
 
 
 def block_class(name: Column) -> Column:
-    """Class of a block's name: PTECH, BOITE or SITE by what it holds, PTECH otherwise."""
-    n = F.lower(name)
-    return F.when(n.rlike("pole|poteau|chamber|chambre|manhole|handhole"), "PTECH").when(n.rlike("fat|box|closure|boite|splice"), "BOITE").when(n.rlike("fdt|site|nro|cabinet|olt"), "SITE").otherwise("PTECH")
+    """Class of a block's name by the first list with a word it holds, PTECH otherwise."""
+    return F.coalesce(_first(name, [("|".join(words), fc) for words, fc in BLOCK_CLASSES], 1), F.lit("PTECH"))
 
 
 def entity_weight(method: Column, count: Column) -> Column:

@@ -81,19 +81,32 @@ def majority(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return counts.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), value))).where("__r = 1").drop("__r")
 
 
+def _ranked(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, __c, __upto, n): distinct values with their count, the rows up to them and the group's rows."""
+    from netloom.operators.windows import join_groups, running_sum
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = running_sum(counts, group, [value], "__c", "__upto")
+    return join_groups(ranked, counts.groupBy(*group).agg(F.sum("__c").alias("n")), group)
+
+
 def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, median, n): the upper of the two middle values, NULLs left out.
 
-    The row is found by its rank; a group is sorted, with spills, but never gathered into one value.
+    Equal values are counted map-side and ranked over range partitions, so a hot group is spread over tasks.
     """
-    w = Window.partitionBy(*group)
-    r = df.where(F.col(value).isNotNull()).select(*group, value, F.row_number().over(w.orderBy(value)).alias("__r"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.where(F.col("__r") == F.floor(F.col("n") / 2) + 1).select(*group, F.col(value).alias("median"), "n")
+    middle = F.floor(F.col("n") / 2) + 1
+    return _ranked(df, group, value).where((F.col("__upto") >= middle) & (F.col("__upto") - F.col("__c") < middle)).select(*group, F.col(value).alias("median"), "n")
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, at: list[float]) -> DataFrame:
-    """(group, q_<percent>): exact quantiles with linear interpolation."""
-    return df.groupBy(*group).agg(*[F.percentile(value, q).alias(f"q_{round(q * 100)}") for q in at])
+    """(group, q_<percent>): exact quantiles with linear interpolation, NULLs left out; values are ranked over range partitions."""
+    at_rank = lambda k: (F.col("__upto") - F.col("__c") <= k) & (k < F.col("__upto"))
+    pos = [(F.col("n") - 1) * F.lit(float(q)) for q in at]
+    pick = [F.max(F.when(at_rank(k), F.col(value).cast("double"))).alias(f"__{e}{i}") for i, p in enumerate(pos) for e, k in (("lo", F.floor(p)), ("hi", F.ceil(p)))]
+    r = _ranked(df, group, value).where(reduce(lambda a, b: a | b, [at_rank(F.floor(p)) | at_rank(F.ceil(p)) for p in pos]))
+    w = r.groupBy(*group, "n").agg(*pick)
+    return w.select(*group, *[(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (p - F.floor(p))).alias(f"q_{round(q * 100)}") for i, (p, q) in enumerate(zip(pos, at))])
 
 
 def qc_summary(features: DataFrame, classes: list[str]) -> DataFrame:
@@ -121,10 +134,10 @@ def verdict(rules: DataFrame) -> DataFrame:
     return r.withColumn("verdict", F.when(F.col("errors") > 0, "FAIL").when(F.col("warnings") > 0, "QUARANTINE").otherwise("PASS"))
 
 
-def residual_gate(df: DataFrame, dx: str, dy: str, good: float = 0.0012, bad: float = 0.0015, coarse: float = 200.0) -> DataFrame:
-    """(n, max_residual, mean_residual, gate): residuals of control points, PASS to good, WARN to bad, FAIL beyond, PRECISION_COARSE within the coarse phase's size."""
-    r = df.select(F.sqrt(F.col(dx) * F.col(dx) + F.col(dy) * F.col(dy)).alias("r")).agg(F.count("r").alias("n"), F.max("r").alias("max_residual"), F.avg("r").alias("mean_residual"))
-    return r.withColumn("gate", F.when(F.col("max_residual") <= good, "PASS").when(F.col("max_residual") <= bad, "WARN").when(F.col("max_residual") <= coarse, "PRECISION_COARSE").otherwise("FAIL"))
+def residual_gate(df: DataFrame, dx: str, dy: str, good: float = 0.0012, bad: float = 0.0015, group: list[str] | None = None) -> DataFrame:
+    """(group, n, max_residual, mean_residual, gate): residuals of control points, PASS to good, WARN to bad, FAIL beyond; PRECISION_COARSE without any."""
+    r = df.select(*(group or []), F.sqrt(F.col(dx) * F.col(dx) + F.col(dy) * F.col(dy)).alias("r")).groupBy(*(group or [])).agg(F.count("r").alias("n"), F.max("r").alias("max_residual"), F.avg("r").alias("mean_residual"))
+    return r.withColumn("gate", F.when(F.col("n") == 0, "PRECISION_COARSE").when(F.col("max_residual") > bad, "FAIL").when(F.col("max_residual") > good, "WARN").otherwise("PASS"))
 
 
 def regime_vote(df: DataFrame, group: list[str], y: str, hint: str) -> DataFrame:

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from netloom.operators.spatial import near_pairs
 from netloom.session import cut
 
-#: Candidate edges of one component up to which it is solved exactly in one task: all there can be. A session that rather has
-#: larger ones matched greedily in rounds (fewer pairs, more distance) sets it lower.
-EXACT_EDGES = (1 << 63) - 1
-
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, component): component is the least id in it. edges: a, b; vertices: id, for vertices without edges.
@@ -151,15 +147,13 @@ def assign_sparse(edges: list[list[tuple[int, float]]], n_right: int) -> list[in
 def best_assignment(candidates: DataFrame) -> DataFrame:
     """(left_id, right_id, d): the one-to-one assignment with most pairs and, among those, least total distance.
 
-    The cost is a sum, so every component of the candidate graph is solved by itself, exactly, in one task, however large
-    it is (see EXACT_EDGES).
+    The cost is a sum, so every component of the candidate graph is solved by itself, exactly, however large it is; a
+    task holds the edges of one component.
     """
     c = cut(candidates.select("left_id", "right_id", "d").groupBy("left_id", "right_id").agg(F.min("d").alias("d")))
     key = lambda side, col: F.concat(F.lit(side), F.col(col).cast("string"))
     comp = connected_components(c.select(key("l", "left_id").alias("a"), key("r", "right_id").alias("b")))
     parts = cut(c.join(comp, key("l", "left_id") == comp["id"]).drop("id"))
-    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = parts.join(size.where(F.col("n") <= EXACT_EDGES), "component", "left_semi")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         lefts, rights = sorted(pdf.left_id.unique()), sorted(pdf.right_id.unique())
@@ -171,9 +165,7 @@ def best_assignment(candidates: DataFrame) -> DataFrame:
         return pd.DataFrame(got, columns=["left_id", "right_id", "d"])
 
     kinds = ", ".join(f"{f} {c.schema[f].dataType.simpleString()}" for f in ("left_id", "right_id", "d"))
-    exact = small.groupBy("component").applyInPandas(solve, kinds)
-    large = parts.join(size.where(F.col("n") > EXACT_EDGES), "component", "left_semi")
-    return exact if large.isEmpty() else exact.unionByName(greedy_matching(large))
+    return parts.groupBy("component").applyInPandas(solve, kinds)
 
 
 def isolated_nodes(nodes: DataFrame, code: str, edges: DataFrame, ends: list[str]) -> DataFrame:
@@ -188,7 +180,7 @@ def merge_groups(groups: DataFrame) -> DataFrame:
     """(group, merged): groups that share members, directly or through others, get one number. groups: group, member."""
     edges = groups.select(F.concat(F.lit("g"), F.col("group").cast("string")).alias("a"), F.concat(F.lit("m"), F.col("member").cast("string")).alias("b"))
     c = connected_components(edges).where("id LIKE 'g%'")
-    return c.select(F.substring("id", 2, 1000).alias("group"), F.substring("component", 2, 1000).alias("merged"))
+    return c.select(F.expr("substring(id, 2)").alias("group"), F.expr("substring(component, 2)").alias("merged"))
 
 
 def tiles(points: DataFrame, size: int, most: int = 50) -> DataFrame:

@@ -85,6 +85,15 @@ def code_set(df: DataFrame, field: str) -> DataFrame:
     return df.select(ref_key(field).alias("code")).where("code IS NOT NULL").distinct()
 
 
+def reference_isolation(parents: DataFrame, key: str, children: DataFrame, child_id: str, ref: str) -> DataFrame:
+    """(side, item): `child` with the id of each child whose reference is null, blank or no parent's, `parent` with each parent code that no child names."""
+    codes = code_set(parents, key)
+    c = children.select(F.col(child_id).cast("string").alias("item"), ref_key(ref).alias("code"))
+    lost = c.join(codes, "code", "left_anti").select(F.lit("child").alias("side"), "item")
+    bare = codes.join(c.select("code").distinct(), "code", "left_anti").select(F.lit("parent").alias("side"), F.col("code").alias("item"))
+    return lost.unionByName(bare)
+
+
 def isolation(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """(side, code): codes of the left without a counterpart on the right (`left`) and the other way round (`right`)."""
     a, b = code_set(left, left_key), code_set(right, right_key)
@@ -136,24 +145,42 @@ def overlapping_regions(regions: DataFrame, region_id: str, ring: str, cell_size
     return a.join(c, ["gx", "gy"]).where((F.col("a_id") < F.col("c_id")) & meet & first & geo.overlaps(F.col("a_ring"), F.col("c_ring"))).select(F.col("a_id").alias("left_id"), F.col("c_id").alias("right_id"))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, cell_size: float) -> DataFrame:
-    """(box_id, point_id): points (id, x, y) inside or on boxes (id, xmin, xmax, ymin, ymax), by the cells a box covers."""
-    span = lambda lo, hi: F.sequence(cell(F.col(lo), cell_size), cell(F.col(hi), cell_size))
-    b = boxes.select(F.col("id").alias("box_id"), "xmin", "xmax", "ymin", "ymax").where("xmin <= xmax AND ymin <= ymax").select("*", F.explode(span("xmin", "xmax")).alias("gx")).select("*", F.explode(span("ymin", "ymax")).alias("gy"))
-    p = points.where(finite(F.col("x"), F.col("y"))).select(F.col("id").alias("point_id"), "x", "y", cell(F.col("x"), cell_size).alias("gx"), cell(F.col("y"), cell_size).alias("gy"))
-    return p.join(b, ["gx", "gy"]).where("x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax").select("box_id", "point_id")
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell_size: float, blocks: list[str] | None = None) -> DataFrame:
+    """(box_id, point_id): points (id, x, y) inside or on boxes (id, xmin, xmax, ymin, ymax) of equal blocks.
+
+    Grids double in cell size; a box lies in the grid whose cells are no smaller than itself, so it covers four cells at
+    most however large it is, and a point is looked up once for each grid in use (at most some 60).
+    """
+    on = [*(blocks or []), "lv", "gx", "gy"]
+    ok = boxes.where("xmin <= xmax AND ymin <= ymax").where(finite(*[F.col(c) for c in ("xmin", "xmax", "ymin", "ymax")]))
+    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    b = ok.select(*(blocks or []), F.col("id").alias("box_id"), "xmin", "xmax", "ymin", "ymax", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(cell_size)) / cell_size))).cast("int").alias("lv"))
+    b = cut(b)
+    levels = sorted(r[0] for r in b.select("lv").distinct().collect())  # a row a doubling
+    at = lambda c: cell(F.col(c) / F.pow(F.lit(2.0), F.col("lv")), cell_size)
+    b = b.select("*", F.explode(F.sequence(at("xmin"), at("xmax"))).alias("gx")).select("*", F.explode(F.sequence(at("ymin"), at("ymax"))).alias("gy"))
+    p = points.where(finite(F.col("x"), F.col("y"))).select(*(blocks or []), F.col("id").alias("point_id"), "x", "y", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")).alias("lv"))
+    p = p.select("*", at("x").alias("gx"), at("y").alias("gy"))
+    side = b.select(*[F.col(c).alias(f"__b_{c}") if c in on else F.col(c) for c in b.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in on]
+    return p.join(side, same).where("x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax").select("box_id", "point_id")
 
 
 def label_scores(components: DataFrame, layouts: DataFrame) -> DataFrame:
-    """(component, layout, exact, prefix, score): 2 for each label both have, 1 for each component label that starts with the layout's name; pairs without either are left out.
+    """(component, layout, exact, prefix, score): 2 for each label both have, 1 for each other component label that is the layout's name or begins with it and a dot; pairs without either are left out.
 
-    components: component, label; layouts: layout, label. Both ways are equi-joins, on the label and on its prefixes.
+    components: component, label; layouts: layout (its name), label. Labels count once, without regard to case and white
+    space around. Both ways are equi-joins, on the label and on what stands before one of its dots.
     """
-    c, y = components.distinct(), layouts.distinct()
-    exact = c.join(y, "label").groupBy("component", "layout").agg(F.count(F.lit(1)).alias("exact"))
-    names = y.select("layout").distinct()
-    heads = c.select("component", "label", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1))), lambda i: F.substring(F.col("label"), F.lit(1), i))).alias("layout"))
-    prefix = heads.join(names, "layout").groupBy("component", "layout").agg(F.countDistinct("label").alias("prefix"))
+    code = lambda c: F.upper(F.trim(F.col(c)))
+    c = components.select("component", code("label").alias("label")).where("label <> ''").distinct()
+    y = layouts.select("layout", code("label").alias("label")).distinct()
+    both = c.join(y, "label").select("component", "layout", "label")
+    exact = both.groupBy("component", "layout").agg(F.count(F.lit(1)).alias("exact"))
+    names = y.select("layout", code("layout").alias("head")).where("head <> ''").distinct()
+    parts = F.size(F.split("label", r"\."))
+    heads = c.select("component", "label", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), parts), lambda i: F.array_join(F.slice(F.split(F.col("label"), r"\."), F.lit(1), i), ".")))).alias("head"))
+    prefix = heads.join(names, "head").select("component", "layout", "label").join(both, ["component", "layout", "label"], "left_anti").groupBy("component", "layout").agg(F.count(F.lit(1)).alias("prefix"))
     return exact.join(prefix, ["component", "layout"], "full_outer").fillna(0, ["exact", "prefix"]).withColumn("score", 2 * F.col("exact") + F.col("prefix"))
 
 

@@ -63,6 +63,11 @@ def isolation(rule_id: str, left: DataFrame, left_key: str, right: DataFrame, ri
     return rule(rule_id, "E", joins.isolation(left, left_key, right, right_key), left)
 
 
+def reference_isolation(rule_id: str, parents: DataFrame, key: str, children: DataFrame, child_id: str, ref: str) -> DataFrame:
+    """Children without a parent (also those that name none) and parents without a child."""
+    return rule(rule_id, "E", joins.reference_isolation(parents, key, children, child_id, ref), children)
+
+
 def foreign_key(rule_id: str, child: DataFrame, field: str, parent: DataFrame, key: str) -> DataFrame:
     """Codes of the child's field that no parent has."""
     return rule(rule_id, "E", joins.code_set(child, field).join(joins.code_set(parent, key), "code", "left_anti"), child)

@@ -9,6 +9,7 @@ from netloom.functions import geo as G
 from netloom.functions import text as T
 from netloom.operators import graph as R
 from netloom.operators import rules as K
+from netloom.operators import topology as P
 from netloom.operators.aggregates import verdict
 from netloom.plans import relational as A
 from netloom.plans import spatial_graph as S
@@ -34,25 +35,25 @@ def _status(n: str) -> str:
 
 
 @query(
-    f"""WITH o AS ({S.SQL['zone_overlap']}), i AS ({S.SQL['named_region']}), b AS ({A.SQL['port_balance']}), v AS ({A.SQL['domain_vocabulary']}), r AS (
-SELECT '1.1' rule_id, 'C' severity, 4::BIGINT n_violations, 8::BIGINT n_evidence UNION ALL SELECT '1.9', 'E', 0, (SELECT count(*) FROM nation) UNION ALL SELECT '2.0', 'C', 1, 3 UNION ALL SELECT '3.0', 'C', 1, 3
-UNION ALL SELECT '6.2', 'E', (SELECT count(*) FROM o), (SELECT count(*) FROM nation) UNION ALL SELECT '6.3', 'E', (SELECT count(*) FROM i), (SELECT count(*) FROM customer)
+    f"""WITH l(n) AS (VALUES ('boite'), ('cable'), ('ptech'), ('infrastructure'), ('site'), ('znro'), ('zpm'), ('imb')), o AS ({S.SQL['area_overlap']}), i AS ({S.SQL['named_region']}), b AS ({A.SQL['port_balance']}), v AS ({A.SQL['domain_vocabulary']}), r AS (
+SELECT '1.1' rule_id, 'C' severity, count(*) FILTER (WHERE t.table_name IS NULL) n_violations, count(*) n_evidence FROM l LEFT JOIN (SELECT DISTINCT table_name FROM information_schema.tables) t ON t.table_name = l.n UNION ALL SELECT '1.9', 'E', count(*) FILTER (WHERE len(ring) < 3), count(*) FROM zpm WHERE ring IS NOT NULL UNION ALL SELECT '2.0', 'C', count(*) FILTER (WHERE c IS NULL OR c <> '3857') + greatest(count(DISTINCT c) - 1, 0), count(*) FROM (SELECT nullif(regexp_extract(s, '([0-9]+)$', 1), '') c FROM (VALUES ('EPSG:3857'), ('3857'), (NULL)) v(s)) UNION ALL SELECT '3.0', 'C', count(*) FILTER (WHERE n = 0), count(*) FROM (SELECT count(*) n FROM boite UNION ALL SELECT count(*) FROM site UNION ALL SELECT count(*) FROM information_schema.tables WHERE table_name = 'cable')
+UNION ALL SELECT '6.2', 'E', (SELECT count(*) FROM o), (SELECT count(*) FROM zpm WHERE len(ring) >= 3) UNION ALL SELECT '6.3', 'E', (SELECT count(*) FROM i), (SELECT count(*) FROM boite WHERE type = 'PBO' AND x IS NOT NULL AND y IS NOT NULL)
 UNION ALL SELECT '7.2', 'E', (SELECT count(*) FROM b WHERE diff > 0), (SELECT count(*) FROM b) UNION ALL SELECT 'domain_vocab', 'W', (SELECT count(*) FROM v), (SELECT count(*) FROM boite))
 SELECT rule_id, severity, {_status('n_violations')} status, n_violations, n_evidence FROM r"""
 )
 def layer_rules(spark: SparkSession, d: str) -> DataFrame:
     layers = {n: table(spark, d, n) for n in ("boite", "site", "znro", "zpm")}
-    z = V.zone(spark, d).withColumn("code", F.concat(F.lit("z"), F.col("id").cast("string"))).withColumn("kind", G.wkt_type(G.wkt_polygon(F.col("ring"))))
-    s = V.site(spark, d).withColumn("ref", F.concat(F.lit("Z"), (F.col("zone") + 5).cast("string")))
+    z = V.area(spark, d)
+    kinds = layers["zpm"].where("ring IS NOT NULL").select(G.wkt_type(F.when(F.size("ring") < 3, G.wkt_linestring(F.col("ring"))).otherwise(G.wkt_polygon(F.col("ring")))).alias("kind"))
     pbo = layers["boite"].where("type = 'PBO'").select(F.col("ref_pm").alias("key"), F.col("capacite").alias("value"))
     return K.report(
         [
             K.layers_present(spark, layers, [c.lower() for c in A.CLASSES]),
-            K.geometry_types("1.9", z, "kind", ["Polygon", "MultiPolygon"]),
+            K.geometry_types("1.9", kinds, "kind", ["Polygon", "MultiPolygon"]),
             K.one_crs(spark, {"boite": "EPSG:3857", "site": "3857", "zpm": None}, "EPSG:3857"),
             K.not_empty(layers, ["boite", "site", "cable"], spark),
-            K.no_overlap("6.2", z, "id", "ring", 150.0),
-            K.inside("6.3", s, "id", "ref", z, "code", "ring"),
+            K.no_overlap("6.2", z, "id", "ring", 500.0),
+            K.inside("6.3", V.site(spark, d), "id", "ref", z, "code", "ring"),
             K.balanced("7.2", pbo, layers["zpm"].select(F.col("code").alias("key"), F.col("nb_prises").alias("value")), "key"),
             K.vocabulary("domain_vocab", layers["boite"], A.VOCABULARY),
         ]
@@ -80,49 +81,25 @@ def metric_scales(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round(s["x"], 4).alias("sx"), F.round(s["y"], 4).alias("sy"), F.round(F.lit(G.metres_to_units(500.0, True)), 9).alias("tol"))
 
 
-@query("SELECT p_partkey id, CASE p_partkey % 4 WHEN 0 THEN 'PTECH' WHEN 1 THEN 'BOITE' WHEN 2 THEN 'SITE' ELSE 'PTECH' END class, CASE WHEN p_partkey % 4 = 1 THEN 0 ELSE greatest(p_size - 5, 1) END weight, CASE p_partkey % 4 WHEN 2 THEN 'SITE' WHEN 1 THEN 'BOITE' END fragment FROM part")
+@query("SELECT layer, CASE WHEN regexp_matches(lower(layer), 'chamber|manhole|handhole|pole|anchor|guy|vault|trench') THEN 'PTECH' WHEN regexp_matches(lower(layer), 'box|closure|fat|fdt|cto|nap|dp|mdu|sdu|ont|pedestal|cabinet|splice|splitter|patch|panel|terminal') THEN 'BOITE' WHEN regexp_matches(lower(layer), 'nro|pm|co|exchange|hub|pop|shelter|node') THEN 'SITE' ELSE 'PTECH' END class, CASE WHEN regexp_matches(lower(layer), 'fdt') THEN 'SITE' WHEN regexp_matches(lower(layer), '^fat\\s*sp$') THEN 'BOITE' END fragment, CAST(sum(CASE WHEN type = 'MTEXT' THEN 0 ELSE greatest(coalesce(length(text), 1), 1) END) AS BIGINT) weight FROM intermediate_pipeline_dump GROUP BY layer")
 def block_classes(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("p_partkey") % 4
-    name = F.when(p == 0, "NEW POLE 7").when(p == 1, "fat sp").when(p == 2, "FDT-01").otherwise("ARROW")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.block_class(name).alias("class"), T.entity_weight(F.when(p == 1, "annotation_copy"), F.col("p_size") - 5).alias("weight"), T.fragment_target(name).alias("fragment"))
+    """Class and fragment target of the layers' names, and the weight of their entities."""
+    e = table(spark, d, "intermediate_pipeline_dump")
+    w = T.entity_weight(F.when(F.col("type") == "MTEXT", "annotation_copy"), F.length("text"))
+    n = e.groupBy("layer").agg(F.sum(w).cast("bigint").alias("weight"))
+    return n.select("layer", T.block_class(F.col("layer")).alias("class"), T.fragment_target(F.col("layer")).alias("fragment"), "weight")
 
 
-@query("WITH RECURSIVE m AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) g, l_orderkey k FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09), e AS (SELECT DISTINCT a.g a, b.g b FROM m a JOIN m b USING (k)), reach(id, r) AS (SELECT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id) SELECT id \"group\", min(r) merged FROM reach GROUP BY 1")
+@query("WITH RECURSIVE m AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) g, l_orderkey k FROM lineitem), e AS (SELECT DISTINCT a.g a, b.g b FROM m a JOIN m b USING (k)), reach(id, r) AS (SELECT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id) SELECT id \"group\", min(r) merged FROM reach GROUP BY 1")
 def merged_groups(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount > 0.09").select(F.col("l_suppkey").cast("string").alias("group"), F.col("l_orderkey").alias("member"))
-    return R.merge_groups(g)
-
-
-@query()
-def merged_groups_all(spark: SparkSession, d: str) -> DataFrame:
-    """merged_groups over every line: suppliers linked by any order."""
+    """Suppliers linked by any order."""
     return R.merge_groups(table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("group"), F.col("l_orderkey").alias("member")))
 
 
-@query("SELECT s_suppkey id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey IS NOT NULL)")
-def isolated_nodes_all(spark: SparkSession, d: str) -> DataFrame:
-    """isolated_nodes over every line."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").cast("string").alias("code"))
-    return R.isolated_nodes(s, "code", table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("a")), ["a"]).select("id")
-
-
-@query()
-def candidate_consistency_all(spark: SparkSession, d: str) -> DataFrame:
-    """candidate_consistency of the labels that label_assignment assigns."""
-    on = F.col("status") == "selected"
-    c = S.label_assignment(spark, d).select(F.col("label_id").cast("string").alias("annotation_key"), F.when(on, F.col("target_id").cast("string")).alias("target_code"), on.cast("int").alias("selected"), "status")
-    return A.A.candidate_consistency(c, V.node(spark, d).select(F.col("id").cast("string").alias("code")), ["selected", "outside_tolerance", "multiple_optima", "assignment_conflict"])
-
-
-@query()
-def provenance_coverage_all(spark: SparkSession, d: str) -> DataFrame:
-    """provenance_coverage of every field of the boxes, by what field_provenance records."""
-    b = table(spark, d, "boite")
-    actual = spark.createDataFrame([("BOITE", c) for c in b.columns], "fc string, field string")
-    return A.A.provenance_coverage(actual, A.field_provenance(spark, d).select("fc", "field", "provenance"), sorted(set(A.KINDS.values())))
-
-
-@query(f"WITH r AS ({A.SQL['acceptance_rules']}), n AS (SELECT count(*) FILTER (WHERE status <> 'PASS' AND severity IN ('C', 'E')) errors, count(*) FILTER (WHERE status <> 'PASS' AND severity = 'W') warnings, count(*) FILTER (WHERE status = 'PASS') rules_passed, count(*) FILTER (WHERE status <> 'PASS') rules_failed FROM r) SELECT *, CASE WHEN errors > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'QUARANTINE' ELSE 'PASS' END verdict FROM n")
-def verdict_all(spark: SparkSession, d: str) -> DataFrame:
-    """verdict of the acceptance rules."""
-    return verdict(A.acceptance_rules(spark, d))
+@query("WITH u(code) AS (SELECT 'C' || o_custkey FROM orders UNION SELECT 'C' || o_custkey || '-S1' FROM orders WHERE o_custkey % 3 = 0 UNION SELECT 'C' || o_custkey || '-S3' FROM orders WHERE o_custkey % 4 = 0), r AS (SELECT o_orderkey chain, 'C' || o_custkey code, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 k FROM orders), n AS (SELECT code, max(k) + 2 n FROM r GROUP BY 1), c AS (SELECT code, unnest(range(1, n + 1)) t FROM n), f AS (SELECT code, t, row_number() OVER (PARTITION BY code ORDER BY t) k FROM c WHERE code || '-S' || t NOT IN (SELECT code FROM u)) SELECT chain, r.code, CASE WHEN r.k = 0 THEN r.code ELSE r.code || '-S' || f.t END chain_code FROM r LEFT JOIN f ON f.code = r.code AND f.k = r.k")
+def chain_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as the chains of their customer, by price; some of the codes are in use."""
+    o = table(spark, d, "orders")
+    base = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    used = o.select(base.alias("code")).unionByName(o.where("o_custkey % 3 = 0").select(F.concat(base, F.lit("-S1")).alias("code"))).unionByName(o.where("o_custkey % 4 = 0").select(F.concat(base, F.lit("-S3")).alias("code")))
+    return P.chain_codes(o.select(F.col("o_orderkey").alias("chain"), base.alias("code"), F.col("o_totalprice").alias("length")), "code", used).select("chain", "code", "chain_code")

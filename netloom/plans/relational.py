@@ -9,7 +9,7 @@ from netloom.operators import aggregates as A
 from netloom.operators import joins as J
 from netloom.operators import rules as R
 from netloom.operators import windows as W
-
+from netloom.functions.keys import ref_key
 from netloom.session import table
 
 QUERIES: dict = {}
@@ -50,14 +50,16 @@ def port_balance(spark: SparkSession, d: str) -> DataFrame:
     return A.balance(left, table(spark, d, "zpm").select(F.col("code").alias("key"), F.col("nb_prises").alias("value")), "key")
 
 
-@query(f"WITH a AS (SELECT DISTINCT {_K('code')} c FROM site WHERE type = 'PM'), b AS (SELECT DISTINCT {_K('code')} c FROM zpm) SELECT 'left' side, c code FROM a WHERE c IS NOT NULL AND c NOT IN (SELECT c FROM b WHERE c IS NOT NULL) UNION ALL SELECT 'right', c FROM b WHERE c IS NOT NULL AND c NOT IN (SELECT c FROM a WHERE c IS NOT NULL)")
+@query(f"WITH a AS (SELECT DISTINCT {_K('code')} c FROM site WHERE type = 'PM' AND deleted_at IS NULL), b AS (SELECT DISTINCT {_K('code')} c FROM zpm) SELECT 'left' side, c code FROM a WHERE c IS NOT NULL AND c NOT IN (SELECT c FROM b WHERE c IS NOT NULL) UNION ALL SELECT 'right', c FROM b WHERE c IS NOT NULL AND c NOT IN (SELECT c FROM a WHERE c IS NOT NULL)")
 def site_zone_isolation(spark: SparkSession, d: str) -> DataFrame:
-    return J.isolation(table(spark, d, "site").where("type = 'PM'"), "code", table(spark, d, "zpm"), "code")
+    """Sites in service without a zone and zones without one."""
+    return J.isolation(table(spark, d, "site").where("type = 'PM' AND deleted_at IS NULL"), "code", table(spark, d, "zpm"), "code")
 
 
-@query(f"WITH a AS (SELECT DISTINCT {_K('code')} c FROM site WHERE type = 'PM'), b AS (SELECT DISTINCT {_K('ref_pm')} c FROM boite WHERE type = 'PBO') SELECT 'left' side, c code FROM a WHERE c IS NOT NULL AND c NOT IN (SELECT c FROM b WHERE c IS NOT NULL) UNION ALL SELECT 'right', c FROM b WHERE c IS NOT NULL AND c NOT IN (SELECT c FROM a WHERE c IS NOT NULL)")
+@query(f"WITH a AS (SELECT DISTINCT {_K('code')} c FROM site WHERE type = 'PM'), b AS (SELECT fid, {_K('ref_pm')} c FROM boite WHERE type = 'PBO') SELECT 'child' side, CAST(fid AS VARCHAR) item FROM b WHERE c IS NULL OR c NOT IN (SELECT c FROM a WHERE c IS NOT NULL) UNION ALL SELECT 'parent', c FROM a WHERE c IS NOT NULL AND c NOT IN (SELECT c FROM b WHERE c IS NOT NULL)")
 def site_box_isolation(spark: SparkSession, d: str) -> DataFrame:
-    return J.isolation(table(spark, d, "site").where("type = 'PM'"), "code", table(spark, d, "boite").where("type = 'PBO'"), "ref_pm")
+    """Branching boxes without a site, also those that name none, and sites without a branching box."""
+    return J.reference_isolation(table(spark, d, "site").where("type = 'PM'"), "code", table(spark, d, "boite").where("type = 'PBO'"), "fid", "ref_pm")
 
 
 @query(f"WITH t AS (SELECT DISTINCT 'box' t, {_K('code')} c FROM boite UNION ALL SELECT DISTINCT 'site', {_K('code')} FROM site), e AS (SELECT fid edge_id, 'origin' AS \"end\", {_K('code_ptc')} ref FROM boite UNION ALL SELECT fid, 'upstream', {_K('cable_amont')} FROM boite UNION ALL SELECT fid, 'zone', {_K('ref_pm')} FROM boite) SELECT edge_id, \"end\", ref, CASE WHEN ref IS NULL THEN 'null' ELSE coalesce(m.t, 'nowhere') END found_in FROM e LEFT JOIN (SELECT c, min(t) t FROM t WHERE c IS NOT NULL GROUP BY c) m ON m.c = e.ref")
@@ -82,14 +84,17 @@ def field_provenance(spark: SparkSession, d: str) -> DataFrame:
     return A.provenance(table(spark, d, "boite"), "BOITE", KINDS)
 
 
-_ACTUAL = [("BOITE", "CODE"), ("BOITE", "VILLE"), ("SITE", "CODE")]
+_BOX = ["code", "c2", "code_ptc", "capacite", "nb_splices", "ville", "adressse"]
 
 
-@query("WITH a AS (SELECT * FROM (VALUES ('BOITE', 'CODE'), ('BOITE', 'VILLE'), ('SITE', 'CODE')) v(fc, field)), r AS (SELECT fc, field, max(CASE WHEN p NOT IN ('computed', 'synthetic') THEN 1 ELSE 0 END) odd FROM (VALUES ('BOITE', 'CODE', 'computed'), ('SITE', 'CODE', 'guess'), ('ZPM', 'CODE', 'computed')) v(fc, field, p) GROUP BY 1, 2) SELECT coalesce(a.fc, r.fc) fc, coalesce(a.field, r.field) field, CASE WHEN r.odd IS NULL THEN 'missing' WHEN a.fc IS NULL THEN 'stale' WHEN odd = 1 THEN 'unknown_kind' ELSE 'ok' END state FROM a FULL JOIN r ON a.fc = r.fc AND a.field = r.field")
+@query("WITH a AS (" + " UNION ALL ".join(f"SELECT 'BOITE' fc, '{c}' field FROM boite HAVING count(*) FILTER (WHERE NOT {_E(f'CAST({c} AS VARCHAR)')}) > 0" for c in _BOX) + "), r AS (SELECT 'BOITE' fc, f field, p FROM (VALUES ('code', 'annotation-assigned'), ('c2', 'synthetic'), ('capacite', 'computed'), ('ville', 'annotation-assigned')) v(f, p) UNION ALL SELECT DISTINCT 'ZPM', 'statut', 'computed' FROM zpm WHERE statut IS NOT NULL) SELECT coalesce(a.fc, r.fc) fc, coalesce(a.field, r.field) field, CASE WHEN r.p IS NULL THEN 'missing' WHEN a.fc IS NULL THEN 'stale' WHEN r.p NOT IN ('annotation-assigned', 'computed') THEN 'unknown_kind' ELSE 'ok' END state FROM a FULL JOIN r ON a.fc = r.fc AND a.field = r.field")
 def provenance_coverage(spark: SparkSession, d: str) -> DataFrame:
-    actual = spark.createDataFrame(_ACTUAL, "fc string, field string")
-    recorded = spark.createDataFrame([("BOITE", "CODE", "computed"), ("SITE", "CODE", "guess"), ("ZPM", "CODE", "computed")], "fc string, field string, provenance string")
-    return A.provenance_coverage(actual, recorded, ["computed", "synthetic"])
+    """Fields of the boxes that hold values against what field_provenance and a record of another layer say."""
+    b = table(spark, d, "boite")
+    actual = A.provenance(b, "BOITE", dict.fromkeys(_BOX, "any")).select("fc", "field")
+    other = A.provenance(table(spark, d, "zpm"), "ZPM", {"statut": "computed"})
+    recorded = field_provenance(spark, d).unionByName(other).select("fc", "field", "provenance")
+    return A.provenance_coverage(actual, recorded, ["annotation-assigned", "computed"])
 
 
 @query("WITH r AS (SELECT CASE WHEN fc_name IS NULL THEN 'unclassified' ELSE 'mapped' END disposition, layer, 1 n FROM intermediate_pipeline_dump WHERE fc_name IS DISTINCT FROM 'NEGATIVE_EVIDENCE' UNION ALL SELECT 'negative_evidence', layer, 1 FROM intermediate_pipeline_dump WHERE fc_name = 'NEGATIVE_EVIDENCE') SELECT disposition, layer, CAST(sum(n) AS BIGINT) n FROM r GROUP BY 1, 2")
@@ -100,9 +105,12 @@ def conservation_ledger(spark: SparkSession, d: str) -> DataFrame:
     return A.conservation(kept, drops, ["aggregated"])
 
 
-@query("SELECT CAST(count(*) AS BIGINT) total, CAST((SELECT count(*) FROM intermediate_pipeline_dump) AS BIGINT) expected, true ok FROM intermediate_pipeline_dump")
+@query("WITH e AS (SELECT count(*) n, count(*) FILTER (WHERE fc_name = 'NEGATIVE_EVIDENCE') dropped FROM intermediate_pipeline_dump) SELECT 'all' ledger, n total, n expected, n = n ok FROM e UNION ALL SELECT 'kept', n - dropped, n, dropped = 0 FROM e")
 def conservation_sum(spark: SparkSession, d: str) -> DataFrame:
-    return A.conservation_check(conservation_ledger(spark, d), table(spark, d, "intermediate_pipeline_dump").count())
+    """The whole ledger against the rows read, and one that forgot the drops."""
+    ledger, n = conservation_ledger(spark, d), table(spark, d, "intermediate_pipeline_dump").count()
+    check = lambda name, df: A.conservation_check(df, n).select(F.lit(name).alias("ledger"), "*")
+    return check("all", ledger).unionByName(check("kept", ledger.where("disposition <> 'negative_evidence'")))
 
 
 @query("SELECT layer, type, CAST(count(*) AS BIGINT) n FROM intermediate_pipeline_dump GROUP BY 1, 2 ORDER BY n DESC, layer, type LIMIT 5")
@@ -120,11 +128,11 @@ def qc_summary(spark: SparkSession, d: str) -> DataFrame:
     return q.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT * FROM (VALUES ('bad_status', 1::BIGINT), ('several_selected', 1::BIGINT), ('unresolved_code', 2::BIGINT)) v(problem, n)")
+@query(f"WITH c AS (SELECT code k, {_K('ref_pm')} t, statut FROM boite), s AS (SELECT DISTINCT {_K('code')} c FROM site) SELECT 'bad_status' problem, count(*) n FROM c WHERE statut IS NULL OR statut NOT IN ('DEPLOYE', 'EN PROJET') UNION ALL SELECT 'several_selected', count(*) FROM (SELECT k FROM c WHERE t IS NOT NULL GROUP BY k HAVING count(*) > 1) UNION ALL SELECT 'unresolved_code', count(*) FROM c WHERE t IS NOT NULL AND t NOT IN (SELECT c FROM s WHERE c IS NOT NULL)")
 def candidate_consistency(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("a", "X1", 1, "selected"), ("a", "X2", 1, "selected"), ("b", None, 0, "lost"), ("c", None, 0, "odd")]
-    c = spark.createDataFrame(rows, "annotation_key string, target_code string, selected int, status string")
-    return A.candidate_consistency(c, table(spark, d, "site").select("code"), ["selected", "lost", "abstained"])
+    """The boxes' PM references as candidates: a box delivered again is selected several times."""
+    c = table(spark, d, "boite").select(F.col("code").alias("annotation_key"), F.col("ref_pm").alias("target_code"), ref_key("ref_pm").isNotNull().cast("int").alias("selected"), F.col("statut").alias("status"))
+    return A.candidate_consistency(c, table(spark, d, "site").select("code"), ["DEPLOYE", "EN PROJET"])
 
 
 @query("WITH c AS (SELECT source_dwg, layer, count(*) n FROM intermediate_pipeline_dump WHERE layer IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source_dwg ORDER BY n DESC, layer) k FROM c) SELECT source_dwg, layer, CAST(n AS BIGINT) n FROM r WHERE k = 1")
@@ -143,18 +151,18 @@ def quantiles(spark: SparkSession, d: str) -> DataFrame:
     return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("q_10", "q_50", "q_90")])
 
 
-@query("SELECT CAST(2 AS BIGINT) errors, CAST(1 AS BIGINT) warnings, CAST(1 AS BIGINT) rules_passed, CAST(3 AS BIGINT) rules_failed, 'FAIL' verdict")
-def verdict(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("C", "FAIL"), ("E", "FAIL"), ("W", "FAIL"), ("E", "PASS")]
-    return A.verdict(spark.createDataFrame(rows, "severity string, status string"))
-
-
-@query(f"SELECT '4.3' rule_id, 'E' severity, 'FAIL' status, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) n_violations, (SELECT count(*) FROM boite) n_evidence FROM ({' UNION ALL '.join(f'SELECT count(*) FILTER (WHERE {_E(c)}) n FROM boite' for c in FIELDS['boite'])}) UNION ALL SELECT '4.4', 'E', 'FAIL', (SELECT count(*) FROM (SELECT 1 FROM boite WHERE trim(code, chr(32)) <> '' GROUP BY trim(code, chr(32)) HAVING count(*) > 1)), (SELECT count(*) FROM boite) UNION ALL SELECT 'fk', 'E', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*), (SELECT count(*) FROM zpm) FROM (SELECT DISTINCT {_K('ref_nro')} c FROM zpm) WHERE c IS NOT NULL AND c NOT IN (SELECT {_K('ref_nro')} FROM znro WHERE {_K('ref_nro')} IS NOT NULL) UNION ALL SELECT '7.1', 'E', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*), (SELECT count(*) FROM boite WHERE nb_fibre_util IS NOT NULL AND capacite IS NOT NULL) FROM boite WHERE nb_fibre_util > capacite")
+@query(f"SELECT '4.3' rule_id, 'E' severity, CASE WHEN sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) = 0 THEN 'PASS' ELSE 'FAIL' END status, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) n_violations, (SELECT count(*) FROM boite) n_evidence FROM ({' UNION ALL '.join(f'SELECT count(*) FILTER (WHERE {_E(c)}) n FROM boite' for c in FIELDS['boite'])}) UNION ALL SELECT '4.4', 'E', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*), (SELECT count(*) FROM boite) FROM (SELECT 1 FROM boite WHERE trim(code, chr(32)) <> '' GROUP BY trim(code, chr(32)) HAVING count(*) > 1) UNION ALL SELECT 'fk', 'E', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*), (SELECT count(*) FROM zpm) FROM (SELECT DISTINCT {_K('ref_nro')} c FROM zpm) WHERE c IS NOT NULL AND c NOT IN (SELECT {_K('ref_nro')} FROM znro WHERE {_K('ref_nro')} IS NOT NULL) UNION ALL SELECT '7.1', 'E', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*), (SELECT count(*) FROM boite WHERE nb_fibre_util IS NOT NULL AND capacite IS NOT NULL) FROM boite WHERE nb_fibre_util > capacite")
 def acceptance_rules(spark: SparkSession, d: str) -> DataFrame:
     b, z = table(spark, d, "boite"), table(spark, d, "zpm")
     return R.report([R.mandatory("4.3", b, FIELDS["boite"]), R.unique("4.4", b, "code"), R.foreign_key("fk", z, "ref_nro", table(spark, d, "znro"), "ref_nro"), R.at_most("7.1", b, "nb_fibre_util", "capacite")])
 
 
+@query(f"WITH r AS ({SQL['acceptance_rules']}), n AS (SELECT count(*) FILTER (WHERE status <> 'PASS' AND severity IN ('C', 'E')) errors, count(*) FILTER (WHERE status <> 'PASS' AND severity = 'W') warnings, count(*) FILTER (WHERE status = 'PASS') rules_passed, count(*) FILTER (WHERE status <> 'PASS') rules_failed FROM r) SELECT *, CASE WHEN errors > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'QUARANTINE' ELSE 'PASS' END verdict FROM n")
+def verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict of the acceptance rules."""
+    return A.verdict(acceptance_rules(spark, d))
+
+
 @query("SELECT fid, code, CASE WHEN row_number() OVER (PARTITION BY code ORDER BY fid) = 1 THEN code END kept_code FROM boite")
 def first_occurrence_code(spark: SparkSession, d: str) -> DataFrame:
     return W.first_keeps_code(table(spark, d, "boite").select("fid", "code"), [], "code", ["fid"])
@@ -175,7 +183,7 @@ def unique_suffixes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def gap_islands(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_id", F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("s"), F.unix_micros(F.col("ts").cast("timestamp")).alias("u"))
-    w = W.gaps_and_islands(e, ["user_id"], "u", ["event_id"], F.lit(3600 * 1_000_000))
+    w = W.gaps_and_islands(e, ["user_id"], "u", F.lit(3600 * 1_000_000))
     return w.select("user_id", "event_id", "island")
 
 
@@ -188,13 +196,13 @@ def ambiguous_best_two(spark: SparkSession, d: str) -> DataFrame:
     return W.best_two(c, ["l_orderkey"], "d", ["l_linenumber"], 1.0)
 
 
-_SCORES = "WITH s AS (SELECT l_suppkey % 50 c, l_partkey % 40 y, count(*) score FROM lineitem GROUP BY 1, 2)"
+_SCORES = "WITH s AS (SELECT l_suppkey % 50 c, l_partkey % 40 y, count(*) score, sum(l_linenumber) % 3 gap FROM lineitem GROUP BY 1, 2)"
 
 
-@query(_SCORES + ", b AS (SELECT *, max(score) OVER (PARTITION BY c) m FROM s), t AS (SELECT c, y, score, count(*) OVER (PARTITION BY c) ties, row_number() OVER (PARTITION BY c ORDER BY y) k FROM b WHERE score = m), o AS (SELECT *, CASE WHEN ties = 1 THEN score END real FROM t WHERE k = 1), p AS (SELECT *, max(real) OVER (PARTITION BY y) top FROM o), q AS (SELECT *, sum(CASE WHEN real = top THEN 1 ELSE 0 END) OVER (PARTITION BY y) n FROM p) SELECT c, y, score, CASE WHEN score <= 0 THEN 'no_evidence' WHEN ties > 1 THEN 'tie' WHEN real < top THEN 'lost' WHEN n > 1 THEN 'contested' ELSE 'matched' END status FROM q")
+@query(_SCORES + ", b AS (SELECT *, max(score) OVER (PARTITION BY c) m FROM s), t AS (SELECT *, count(*) OVER (PARTITION BY c) ties, rank() OVER (PARTITION BY c ORDER BY gap) g, min(y) OVER (PARTITION BY c) y0 FROM b WHERE score = m), h AS (SELECT c, score, ties, y0, count(*) FILTER (WHERE g = 1) one, min(y) FILTER (WHERE g = 1) y FROM t GROUP BY ALL), o AS (SELECT c, score, y0, CASE WHEN ties = 1 OR one = 1 THEN y END pick FROM h), p AS (SELECT *, max(score) OVER (PARTITION BY pick) top FROM o), q AS (SELECT *, count(*) FILTER (WHERE score = top) OVER (PARTITION BY pick) k FROM p) SELECT c, coalesce(pick, y0) y, score, CASE WHEN pick IS NULL THEN 'multiple_optima' WHEN k > 1 THEN 'contested_layout' WHEN score < top THEN 'outscored_on_layout' ELSE 'matched' END status FROM q")
 def layout_match(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("c"), (F.col("l_partkey") % 40).alias("y")).agg(F.count(F.lit(1)).alias("score"))
-    return W.match_both_ways(s, "c", "y", "score")
+    s = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("c"), (F.col("l_partkey") % 40).alias("y")).agg(F.count(F.lit(1)).alias("score"), (F.sum("l_linenumber") % 3).alias("gap"))
+    return W.match_both_ways(s, "c", "y", "score", "gap")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_totalprice DESC, o_orderkey) k FROM orders) WHERE k = 1")

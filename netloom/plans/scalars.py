@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions import colour as C
 from netloom.functions import geo as G
 from netloom.functions import text as T
+from netloom.functions.keys import ref_key
 from netloom.plans import views as V
 from netloom.session import table
 
@@ -29,7 +30,7 @@ _V = f"WITH {V.SQL_VIEWS}"
 _PTS = _V + ", l AS (SELECT id, list({'x': x, 'y': y} ORDER BY k) p, count(*) n FROM pt GROUP BY id)"
 
 
-@query("SELECT s_suppkey id, printf('POINT (%.12f %.12f)', CAST(s_suppkey * 7919 % 1000 AS DOUBLE), CAST(s_suppkey * 104729 % 1000 AS DOUBLE)) wkt, 'POINT' kind FROM supplier")
+@query(_V + " SELECT id, printf('POINT (%.12f %.12f)', x, y) wkt, 'POINT' kind FROM node")
 def wkt_points(spark: SparkSession, d: str) -> DataFrame:
     w = G.wkt_point(F.col("x"), F.col("y"))
     return V.node(spark, d).select("id", w.alias("wkt"), G.wkt_type(w).alias("kind"))
@@ -71,10 +72,10 @@ def shoelace(spark: SparkSession, d: str) -> DataFrame:
     return z.select("fid", F.round(G.area(F.col("ring")), 2).alias("area"))
 
 
-@query(_V + " SELECT id, round(CASE WHEN greatest(max(x) - min(x), max(y) - min(y)) < 1e-12 THEN 1 WHEN least(max(x) - min(x), max(y) - min(y)) < 1e-12 THEN 1e9 ELSE greatest(max(x) - min(x), max(y) - min(y)) / least(max(x) - min(x), max(y) - min(y)) END, 6) ratio FROM pt GROUP BY id")
+@query(_V + ", b AS (SELECT id, count(*) n, max(x) - min(x) w, max(y) - min(y) h FROM pt GROUP BY id), s AS (SELECT id, x, y, coalesce(lead(x) OVER v, first_value(x) OVER v) nx, coalesce(lead(y) OVER v, first_value(y) OVER v) ny FROM pt WINDOW v AS (PARTITION BY id ORDER BY k)), a AS (SELECT id, abs(sum(x * ny - nx * y)) / 2 area FROM s GROUP BY id), r AS (SELECT id, n, CASE WHEN n < 3 OR greatest(w, h) < 1e-12 THEN 1 WHEN least(w, h) < 1e-12 THEN 1e9 ELSE greatest(w, h) / least(w, h) END ratio FROM b) SELECT id, round(ratio, 6) ratio, CASE WHEN n < 3 THEN 0 ELSE area END < 100000 AND ratio > 1.3 sliver FROM r JOIN a USING (id)")
 def aspect_ratio(spark: SparkSession, d: str) -> DataFrame:
     r = G.aspect_ratio(F.col("points"))
-    return V.line(spark, d).select("id", F.round(F.when(r == float("inf"), 1e9).otherwise(r), 6).alias("ratio"))
+    return V.line(spark, d).select("id", F.round(F.when(r == float("inf"), 1e9).otherwise(r), 6).alias("ratio"), G.is_sliver(F.col("points"), 100_000.0, 1.3).alias("sliver"))
 
 
 @query(_V + ", z AS (SELECT id, unnest([{'x': x0, 'y': y0}, {'x': x0 + side, 'y': y0}, {'x': x0 + side, 'y': y0 + side}, {'x': x0, 'y': y0 + side}]) p FROM zones), m AS (SELECT a.id i, b.id j, a.p, min(sqrt((a.p.x - b.p.x) * (a.p.x - b.p.x) + (a.p.y - b.p.y) * (a.p.y - b.p.y))) m FROM z a JOIN z b ON a.id <> b.id GROUP BY 1, 2, 3), h AS (SELECT i, j, max(m) h FROM m GROUP BY 1, 2) SELECT a.i left_id, a.j right_id, round(greatest(a.h, b.h), 6) d FROM h a JOIN h b ON a.i = b.j AND a.j = b.i WHERE a.i + 1 = a.j")
@@ -91,24 +92,34 @@ def haversine(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), one(G.RADIUS_CONVERSION).alias("d_conv"), one(G.RADIUS_EVALUATION).alias("d_eval"))
 
 
-@query("SELECT fid, round(degrees(x / 6378137.0), 7) lon, round(degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2), 7) lat, abs(x) <= 20037508.342789244 AND abs(y) <= 20037508.342789244 valid, degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2) BETWEEN -1 AND 1 AND degrees(x / 6378137.0) BETWEEN 102 AND 103 in_region FROM boite WHERE x IS NOT NULL AND y IS NOT NULL AND abs(y) < 1e8")
+@query("WITH p AS (SELECT fid, x, greatest(least(y, 1e8), -1e8) y FROM boite WHERE x IS NOT NULL AND y IS NOT NULL) SELECT fid, round(degrees(x / 6378137.0), 7) lon, round(degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2), 7) lat, abs(x) <= 20037508.342789244 AND abs(y) <= 20037508.342789244 valid, degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2) BETWEEN -1 AND 1 AND degrees(x / 6378137.0) BETWEEN 102 AND 103 in_region FROM p")
 def mercator(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "boite").where("x IS NOT NULL AND y IS NOT NULL AND abs(y) < 1e8")
+    b = table(spark, d, "boite").where("x IS NOT NULL AND y IS NOT NULL").withColumn("y", F.greatest(F.least("y", F.lit(1e8)), F.lit(-1e8)))
     g = G.reproject(G.point(F.col("x"), F.col("y")), 3857, 4326)
     return b.select("fid", F.round(g["x"], 7).alias("lon"), F.round(g["y"], 7).alias("lat"), G.valid_coordinate(F.col("x"), F.col("y"), 3857).alias("valid"), G.in_region(F.col("x"), F.col("y"), 3857, (-1.0, 1.0, 102.0, 103.0)).alias("in_region"))
 
 
-@query()
+_N = "0.0016792203863837047"
+
+
+@query(_V + f""", c AS (SELECT id, x % 1000 + 500000.0 e, y % 1000 - 405.0 n, 6378137.0 / (1 + {_N}) * (1 + pow({_N}, 2) / 4 + pow({_N}, 4) / 64) * 0.9996 a FROM node),
+k AS (SELECT id, n / a xi, (e - 500000.0) / a eta, {_N} / 2 - 2 * pow({_N}, 2) / 3 + 37 * pow({_N}, 3) / 96 - pow({_N}, 4) / 360 b1, pow({_N}, 2) / 48 + pow({_N}, 3) / 15 - 437 * pow({_N}, 4) / 1440 b2, 17 * pow({_N}, 3) / 480 - 37 * pow({_N}, 4) / 840 b3 FROM c),
+h AS (SELECT *, (exp(2 * eta) + exp(-2 * eta)) / 2 c2, (exp(2 * eta) - exp(-2 * eta)) / 2 s2, (exp(4 * eta) + exp(-4 * eta)) / 2 c4, (exp(4 * eta) - exp(-4 * eta)) / 2 s4, (exp(6 * eta) + exp(-6 * eta)) / 2 c6, (exp(6 * eta) - exp(-6 * eta)) / 2 s6 FROM k),
+p AS (SELECT id, xi - b1 * sin(2 * xi) * c2 - b2 * sin(4 * xi) * c4 - b3 * sin(6 * xi) * c6 u, eta - b1 * cos(2 * xi) * s2 - b2 * cos(4 * xi) * s4 - b3 * cos(6 * xi) * s6 v FROM h),
+q AS (SELECT id, asin(sin(u) / ((exp(v) + exp(-v)) / 2)) chi, radians(105) + atan(((exp(v) - exp(-v)) / 2) / cos(u)) lam FROM p),
+l AS (SELECT id, lam, chi + (2 * {_N} - 2 * pow({_N}, 2) / 3 - 2 * pow({_N}, 3)) * sin(2 * chi) + (7 * pow({_N}, 2) / 3 - 8 * pow({_N}, 3) / 5) * sin(4 * chi) + 56 * pow({_N}, 3) / 15 * sin(6 * chi) phi FROM q)
+SELECT id, round(lam * 6378137.0, 2) x, round(ln(tan(pi() / 4 + phi / 2)) * 6378137.0, 2) y FROM l""")
 def utm_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Drawing coordinates of regime A moved into UTM 48N and on to web-mercator."""
-    m = G.regime_to_mercator(500_000.0 - 292_539 + F.col("x"), F.col("y"), 292_539.0, -405.0)
-    return V.node(spark, d).select("id", F.round(m["x"], 3).alias("x"), F.round(m["y"], 3).alias("y"))
+    m = G.regime_to_mercator(500_000.0 - 292_539 + F.col("x") % 1000, F.col("y") % 1000, 292_539.0, -405.0)
+    return V.node(spark, d).select("id", F.round(m["x"], 2).alias("x"), F.round(m["y"], 2).alias("y"))
 
 
-@query(_V + " SELECT s.id, z.id zone FROM csite s JOIN zones z ON s.x > z.x0 AND s.x < z.x0 + z.side AND s.y > z.y0 AND s.y < z.y0 + z.side WHERE s.zone = z.id")
+@query(_V + ", s AS (SELECT id, x, y, nullif(upper(trim(\"ref\", chr(32) || chr(9))), '') r FROM csite), e AS (SELECT *, nullif(upper(trim(code, chr(32) || chr(9))), '') k FROM sides) SELECT s.id, e.id zone FROM s JOIN e ON e.k = s.r GROUP BY 1, 2 HAVING sum(CASE WHEN (py > y) <> (qy > y) AND ((px - x) * (qy - y) - (py - y) * (qx - x) > 0) = (qy > py) THEN 1 ELSE 0 END) % 2 = 1 AND NOT bool_or((px - x) * (qy - y) - (py - y) * (qx - x) = 0 AND least(px, qx) <= x AND greatest(px, qx) >= x AND least(py, qy) <= y AND greatest(py, qy) >= y)")
 def pip_zone(spark: SparkSession, d: str) -> DataFrame:
-    s, z = V.site(spark, d), V.zone(spark, d)
-    return s.join(F.broadcast(z.select(F.col("id").alias("zone"), "ring")), "zone").where(G.contains(F.col("x"), F.col("y"), F.col("ring"))).select("id", "zone")
+    """Branching boxes inside the zones they name."""
+    s, z = V.site(spark, d).withColumn("k", ref_key("ref")), V.area(spark, d).select(F.col("id").alias("zone"), "ring", ref_key("code").alias("k"))
+    return s.join(z, "k").where(G.contains(F.col("x"), F.col("y"), F.col("ring"))).select("id", "zone")
 
 
 @query(_V + " SELECT id, round(area, 4) area, (area < 45000) small, round(least(1000, greatest(0.01, side * 0.001)), 6) chord FROM (SELECT id, side, side * side area FROM zones)")
@@ -117,10 +128,11 @@ def zone_measures(spark: SparkSession, d: str) -> DataFrame:
     return z.select("id", F.round(G.area(F.col("ring")), 4).alias("area"), G.is_sliver(F.col("ring"), 45_000, 0.5).alias("small"), F.round(G.adaptive_chord_tolerance(F.col("side")), 6).alias("chord"))
 
 
-@query(_V + ", a AS (SELECT s.id, x, y, z.x0, z.y0, z.side FROM csite s JOIN zones z ON s.zone = z.id) SELECT id, round(CASE WHEN x BETWEEN x0 AND x0 + side THEN abs(y - y0) ELSE sqrt(pow(greatest(x0 - x, x - x0 - side), 2) + pow(y - y0, 2)) END, 6) d FROM a")
+@query(_V + ", s AS (SELECT id, x, y, nullif(upper(trim(\"ref\", chr(32) || chr(9))), '') r FROM csite), a AS (SELECT s.id, z.id zone, ring[1].x - x ax, ring[1].y - y ay, ring[2].x - ring[1].x dx, ring[2].y - ring[1].y dy FROM s JOIN areas z ON nullif(upper(trim(z.code, chr(32) || chr(9))), '') = s.r), t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) END t FROM a) SELECT id, zone, round(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)), 4) d FROM t")
 def line_distance(spark: SparkSession, d: str) -> DataFrame:
-    z = V.zone(spark, d).select(F.col("id").alias("zone"), F.slice("ring", 1, 2).alias("edge"))
-    return V.site(spark, d).join(F.broadcast(z), "zone").select("id", F.round(G.point_line_distance(F.col("x"), F.col("y"), F.col("edge")), 6).alias("d"))
+    """Distance of the branching boxes to the first side of the zones they name."""
+    s, z = V.site(spark, d).withColumn("k", ref_key("ref")), V.area(spark, d).select(F.col("id").alias("zone"), F.slice("ring", 1, 2).alias("side"), ref_key("code").alias("k"))
+    return s.join(z, "k").select("id", "zone", F.round(G.point_line_distance(F.col("x"), F.col("y"), F.col("side")), 4).alias("d"))
 
 
 @query(_PTS + " SELECT id, CAST(CASE WHEN n >= 3 AND p[1] <> p[-1] THEN n + 1 ELSE n END AS INTEGER) n_closed, n >= 3 is_ring FROM l")
@@ -135,13 +147,12 @@ def chainage(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", (F.col("k") + 1).alias("k"), F.round("c", 3).alias("chainage"))
 
 
-_ACI = "{" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(C.palette().items())) + "}"
-
-
-@query(f"WITH pal AS (SELECT CAST(unnest(map_keys(m)) AS INTEGER) aci, unnest(map_values(m)) rgb FROM (SELECT MAP {_ACI} m)), e AS (SELECT p_partkey id, (p_partkey * 7) % 300 aci, CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 65537 % 16777216 END tc, CASE WHEN p_size % 2 = 0 THEN 'Dashed' END lt, p_size % 260 laci FROM part), f AS (SELECT id, CASE WHEN tc IS NULL AND aci IN (0, 256) THEN laci ELSE aci END a, tc, lt FROM e), g AS (SELECT id, CASE WHEN tc IS NULL AND NOT (a BETWEEN 1 AND 255) THEN 7 ELSE a END color_aci, tc, lt FROM f) SELECT id, CAST(color_aci AS INTEGER) color_aci, CASE WHEN tc IS NOT NULL THEN '#' || lpad(printf('%X', tc), 6, '0') ELSE coalesce(rgb, '#404040') END color_rgb, CASE WHEN tc IS NOT NULL THEN '#' || lpad(printf('%X', tc), 6, '0') ELSE coalesce(rgb, '#404040') END || '|' || coalesce(lt, 'Continuous') style_key FROM g LEFT JOIN pal ON pal.aci = g.color_aci")
+@query("WITH pal AS (SELECT * FROM (VALUES (1, '#FF0000'), (2, '#FFFF00'), (3, '#00FF00'), (4, '#00FFFF'), (5, '#0000FF'), (6, '#FF00FF'), (7, '#000000'), (8, '#414141'), (9, '#808080'), (10, '#FF0000'), (11, '#FF7F7F'), (30, '#FF7F00'), (90, '#00FF00'), (170, '#0000FF'), (250, '#333333'), (251, '#5B5B5B'), (252, '#848484'), (253, '#ADADAD'), (254, '#D6D6D6'), (255, '#FFFFFF')) v(aci, rgb)), e AS (SELECT p_partkey id, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 30, 90, 170, 250, 251, 252, 253, 254, 255, 256, 257, 300][p_partkey * 7 % 24 + 1] aci, CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 65537 % 16777216 END tc, CASE WHEN p_size % 2 = 0 THEN 'Dashed' END lt, [1, 2, 8, 9, 250, 254, 260][p_size % 7 + 1] laci FROM part), f AS (SELECT id, CASE WHEN tc IS NULL AND aci IN (0, 256) THEN laci ELSE aci END a, tc, lt FROM e), g AS (SELECT id, CASE WHEN tc IS NULL AND NOT (a BETWEEN 1 AND 255) THEN 7 ELSE a END color_aci, tc, lt FROM f) SELECT id, CAST(color_aci AS INTEGER) color_aci, CASE WHEN tc IS NOT NULL THEN '#' || lpad(printf('%X', tc), 6, '0') ELSE rgb END color_rgb, CASE WHEN tc IS NOT NULL THEN '#' || lpad(printf('%X', tc), 6, '0') ELSE rgb END || '|' || coalesce(lt, 'Continuous') style_key FROM g LEFT JOIN pal ON pal.aci = g.color_aci")
 def effective_colour(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("p_partkey")
-    e = C.effective((p * 7 % 300).cast("int"), F.when(p % 5 == 0, p * 65537 % 16777216), F.when(F.col("p_size") % 2 == 0, "Dashed"), F.col("p_size") % 260, F.lit(None).cast("bigint"), F.lit(None).cast("string"))
+    pick = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k.cast("int"))
+    own, by_layer = pick([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 30, 90, 170, 250, 251, 252, 253, 254, 255, 256, 257, 300], p * 7 % 24), pick([1, 2, 8, 9, 250, 254, 260], F.col("p_size") % 7)
+    e = C.effective(own, F.when(p % 5 == 0, p * 65537 % 16777216), F.when(F.col("p_size") % 2 == 0, "Dashed"), by_layer, F.lit(None).cast("bigint"), F.lit(None).cast("string"))
     return table(spark, d, "part").select(p.alias("id"), e.alias("e")).select("id", "e.color_aci", "e.color_rgb", "e.style_key")
 
 
@@ -163,10 +174,34 @@ def _case(col: str, patterns: list[tuple], value: int) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({col}, '{p[0]}', 'i') THEN '{p[value]}'" for p in patterns) + " END"
 
 
-_NEG = ", ".join("'" + n.lower() + "'" for n in T.NEGATIVE_LAYERS)
-
-
-@query(f"WITH c AS (SELECT entity_id, CASE WHEN lower(trim(layer)) IN ({_NEG}) THEN 'fc_misc' ELSE {_case('layer', T.LAYER_PATTERNS, 1)} END one, {_case('text', T.KEYWORDS, 1)} two FROM intermediate_pipeline_dump) SELECT entity_id, coalesce(one, two, 'fc_misc') fc_name, CASE WHEN one = 'fc_misc' THEN 1.0::DOUBLE WHEN one IS NOT NULL THEN 0.9::DOUBLE WHEN two IS NOT NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END confidence, CASE WHEN one = 'fc_misc' THEN 'negative_evidence' WHEN one IS NOT NULL THEN 'tier1_layer_pattern' WHEN two IS NOT NULL THEN 'tier2_annotation_keyword' ELSE 'unclassified' END AS method FROM c")
+_NEG = "'approval', 'approval matrix', 'legend', 'cartouche', 'title', 'title block', 'legende', 'defpoints', 'north arrow', 'scale bar', 'grid', 'base map', 'basic map', 'bom', 'outline', 'boeder', 'mainlayer', 'fenetres archicad', 'portes archicad', 'carlage', 'pompier', 'fenêtres', 'murs 2', 'design summary', '0'"
+# what the patterns come to, written out for the check
+_BY_LAYER = [
+    ("fat\\s*area|boundary\\s*fat|hp\\s*cover|zpm|zone.*pm|zone.*sro|distribution.*zone|service.*zone", "ZPM"),
+    ("fdt", "SITE"),
+    ("\\bfat\\b|^nap|box|slimbox|blackbox|closure|cto|dp\\b|ont|pedestal|splice|splitter|spliter|patch|panel|terminal|otb|fsc|boite|hw-fat", "BOITE"),
+    ("pole|poteau|chamber|chambre|manhole|handhole|anchor|guy\\b|vault|ptech|gaine\\s*technique|gc\\s|appui|ancrage|hw-handhole|iam\\s*mh", "PTECH"),
+    ("home\\s*number|home\\s*pass|building|batiment|premise|house|unit|apartment|office|mdu|sdu|imb|property|address|customer|subscriber|logement|maison|villa|immeuble|residence", "IMB"),
+    ("duct|conduit|pipe|trench|infra|pathway|route|buried|underground|aerial|fourreau|adduction|branchement|raccordement|gaine|new\\s*duct|pit|handhole|chamber", "INFRASTRUCTURE"),
+    ("cable|fib[er]*e|feeder|trunk|distribution|drop|riser|lateral|backbone|access|span\\s*cable|micro\\s*cable|loose\\s*cable|sling\\s*wire|suspension\\s*wire|span\\s*sling|sling|fo\\s*[0-9]+\\s*core|fo\\s*cable|service\\s*core|expansion\\s*core|moniter\\s*core|monitor\\s*core|^line$", "CABLE"),
+    ("site|nro|pm\\b|exchange|node|hub|pop\\b|co\\b|shelter|cabinet|location|olt|ftts|local.*tech", "SITE"),
+    ("znro|zone.*nro|olt.*zone|exchange.*zone|coverage|service.*area", "ZNRO"),
+    ("^eu$|^go[0-9]*$|^go$", "PTECH"),
+    ("^pln$|^telkom$", "SITE"),
+    ("ftts.*site", "SITE"),
+    ("^text$|etik", "IMB"),
+]
+_BY_TEXT = [
+    ("fibre|fiber|optic|box|closure|splice|cable|wire|drop", "CABLE"),
+    ("chamber|manhole|handhole|pole|anchor|guy|trench|vault", "PTECH"),
+    ("nro|pm|shelter|cabinet|exchange|node|hub|olt|splitter", "SITE"),
+    ("duct|conduit|pipe|trench|infra|buried|aerial|underground", "INFRASTRUCTURE"),
+    ("building|premise|house|home|unit|apartment|office|mdu|sdu", "IMB"),
+    ("zone|area|boundary|coverage|region|polygon|district", "ZNRO"),
+]
+
+
+@query(f"WITH c AS (SELECT entity_id, CASE WHEN lower(trim(layer)) IN ({_NEG}) THEN 'fc_misc' ELSE {_case('layer', _BY_LAYER, 1)} END one, {_case('text', _BY_TEXT, 1)} two FROM intermediate_pipeline_dump) SELECT entity_id, coalesce(one, two, 'fc_misc') fc_name, CASE WHEN one = 'fc_misc' THEN 1.0::DOUBLE WHEN one IS NOT NULL THEN 0.9::DOUBLE WHEN two IS NOT NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END confidence, CASE WHEN one = 'fc_misc' THEN 'negative_evidence' WHEN one IS NOT NULL THEN 'tier1_layer_pattern' WHEN two IS NOT NULL THEN 'tier2_annotation_keyword' ELSE 'unclassified' END AS method FROM c")
 def classify(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "intermediate_pipeline_dump")
     tiers = e.select("entity_id", T.tier1(F.col("layer")).alias("one"), T.tier2(F.col("text")).alias("two"))
@@ -189,12 +224,14 @@ def label_family(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.family(t).alias("family")).withColumn("target", T.family_target(F.col("family")))
 
 
-_LAYOUTS = ["Model", "FDT-01 TOPOLOGY", "SPLICING 2", "Cable Type", "FDT LAYOUT", "FDT-ALL", "FDT 12", "plan A", "notes"]
+_LAYOUTS = ["Model", "FDT-01 TOPOLOGY", "SPLICING 2", "Cable Type", "FDT LAYOUT", "FDT-ALL", "FDT 12", "plan A", "notes", ""]
 
 
-@query("SELECT * FROM (VALUES ('Model', 'model', 'geometry_source'), ('FDT-01 TOPOLOGY', 'topology', 'evidence'), ('SPLICING 2', 'topology', 'exclude'), ('Cable Type', 'legend', 'exclude'), ('FDT LAYOUT', 'equipment', 'exclude'), ('FDT-ALL', 'plan', 'tagging'), ('FDT 12', 'plan', 'tagging'), ('plan A', 'plan', 'tagging'), ('notes', 'other', 'exclude')) v(name, role, disposition)")
+@query("WITH n AS (SELECT DISTINCT trim(w || CASE WHEN w = 'Model' THEN '' ELSE ' ' || coalesce(layer, '') END) AS name FROM intermediate_pipeline_dump, (VALUES ('Model'), ('FDT-01 TOPOLOGY'), ('SPLICING 2'), ('Cable Type'), ('FDT LAYOUT'), ('FDT-ALL'), ('FDT 12'), ('plan A'), ('notes'), ('')) v(w)), r AS (SELECT name, CASE WHEN lower(name) = 'model' THEN 'model' WHEN regexp_matches(name, 'TOPOLOGY|SPLICING|SCHEMATIC|DIAGRAM', 'i') THEN 'topology' WHEN regexp_matches(name, 'LEGEND|CABLE[ _-]*TYPE|SYMBOL', 'i') THEN 'legend' WHEN regexp_matches(name, 'FDT[ _-]*LAYOUT|EQUIPMENT', 'i') THEN 'equipment' WHEN regexp_matches(name, '^(FDT[-_ ]?(ALL|[0-9]+)|PLAN|NETWORK)', 'i') THEN 'plan' ELSE 'other' END AS role FROM n) SELECT name, role, CASE WHEN role = 'model' THEN 'geometry_source' WHEN role = 'plan' THEN 'fdt_tagging' WHEN role = 'topology' AND NOT regexp_matches(name, 'SPLICING', 'i') THEN 'evidence' ELSE 'exclude' END disposition FROM r")
 def layout_roles(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.createDataFrame([(x,) for x in _LAYOUTS], "name string")
+    """Roles of sheet names made of the layers' names."""
+    w = table(spark, d, "intermediate_pipeline_dump").select("layer").distinct().select("layer", F.explode(F.array(*[F.lit(x) for x in _LAYOUTS])).alias("w"))
+    n = w.select(F.trim(F.concat("w", F.when(F.col("w") == "Model", "").otherwise(F.concat(F.lit(" "), F.coalesce("layer", F.lit("")))))).alias("name")).distinct()
     return n.select("name", T.layout_role(F.col("name")).alias("role"), T.layout_disposition(F.col("name")).alias("disposition"))
 
 
@@ -203,10 +240,10 @@ def safe_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "intermediate_pipeline_dump").select("source_dwg").distinct().select("source_dwg", T.clean_code(F.col("source_dwg")).isNotNull().alias("has_code"), T.safe_layer_name(F.col("source_dwg")).alias("safe"))
 
 
-@query("SELECT s_name, upper(regexp_replace(trim(s_name), '[#]', '', 'g')) code, upper(trim(s_name)) normal, 'ECOLE CAFE' folded, s_acctbal < 0 neg, true numeric, true not_numeric FROM supplier")
+@query("SELECT fid, nullif(substr(regexp_replace(regexp_replace(trim(upper(adressse)), '\\s+', '-', 'g'), '[^\\p{L}\\p{N}_-]', '', 'g'), 1, 40), '') code, upper(trim(regexp_replace(adressse, '\\s+', ' ', 'g'))) normal, regexp_replace(strip_accents(upper(adressse)), '[^\\x00-\\x7F]', '', 'g') folded, coalesce(regexp_full_match(regexp_replace(c2, '[, ]', '', 'g'), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?'), false) \"numeric\" FROM boite")
 def clean_codes(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier")
-    return s.select("s_name", T.clean_code(F.col("s_name")).alias("code"), T.normalised(F.concat(F.lit(" "), F.col("s_name"), F.lit(" "))).alias("normal"), T.unaccented(F.lit("école café")).alias("folded"), (F.col("s_acctbal") < 0).alias("neg"), T.is_numeric(F.lit("1,234.5")).alias("numeric"), (~T.is_numeric(F.lit("12 m"))).alias("not_numeric"))
+    b, a = table(spark, d, "boite"), F.col("adressse")
+    return b.select("fid", T.clean_code(a).alias("code"), T.normalised(a).alias("normal"), T.unaccented(a).alias("folded"), T.is_numeric(F.col("c2")).alias("numeric"))
 
 
 @query("SELECT entity_id, round(CASE WHEN text IS NULL OR text = '' THEN 0 WHEN h = 0 THEN 0.1 ELSE least(1, 0.3 + 0.7 * h / 3) END, 6) score FROM (SELECT entity_id, text, CAST(regexp_matches(text, '[0-9]') AS INTEGER) + CAST(regexp_matches(text, 'FAT') AS INTEGER) + CAST(regexp_matches(text, '-') AS INTEGER) h FROM intermediate_pipeline_dump)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import geo as G
 from netloom.functions import text as T
+from netloom.functions.keys import ref_key
 from netloom.operators import aggregates as A
 from netloom.operators import graph as R
 from netloom.operators import joins as J
@@ -49,16 +50,16 @@ def nearest_node(spark: SparkSession, d: str) -> DataFrame:
 def annotation_merge(spark: SparkSession, d: str) -> DataFrame:
     """Labels merged into their nearest node: the earliest label's id comes through as an attribute."""
     t = V.node(spark, d).select("id", "x", "y", F.lit(None).cast("string").alias("text"), F.create_map().cast("map<string,string>").alias("attrs"))
-    a = V.site(spark, d).select("id", "x", "y", F.col("type").alias("text"), F.create_map(F.lit("SITE"), F.col("id").cast("string")).alias("attrs"))
+    a = V.site(spark, d).select("id", "x", "y", F.lit("PBO").alias("text"), F.create_map(F.lit("SITE"), F.col("id").cast("string")).alias("attrs"))
     m = J.merge_nearest(t, a, 30.0)
     return m.select("id", F.try_element_at("attrs", F.lit("SITE")).cast("bigint").alias("first_id"), F.col("text").isNotNull().alias("linked"))
 
 
-@query("SELECT s_suppkey id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09)")
+@query("SELECT c_custkey id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").cast("string").alias("code"))
-    e = table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount > 0.09").select(F.col("l_suppkey").cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
-    return R.isolated_nodes(s, "code", e, ["a", "b"]).select("id")
+    n = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("code"))
+    e = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
+    return R.isolated_nodes(n, "code", e, ["a", "b"]).select("id")
 
 
 @query(_V + " SELECT a.id left_id, b.id right_id FROM zones a JOIN zones b ON a.id < b.id AND a.x0 < b.x0 + b.side AND b.x0 < a.x0 + a.side AND a.y0 < b.y0 + b.side AND b.y0 < a.y0 + a.side")
@@ -66,27 +67,46 @@ def zone_overlap(spark: SparkSession, d: str) -> DataFrame:
     return J.overlapping_regions(V.zone(spark, d), "id", "ring", 150.0)
 
 
-@query(_V + ", s AS (SELECT s.id, z.id zone, s.x > z.x0 AND s.x < z.x0 + z.side AND s.y > z.y0 AND s.y < z.y0 + z.side inside FROM csite s LEFT JOIN zones z ON z.id = s.zone + 5) SELECT id point_id, CASE WHEN zone IS NULL THEN 'no region' ELSE 'outside' END why FROM s WHERE zone IS NULL OR NOT inside")
+_CROSS = "(a.px - b.px) * (b.qy - b.py) - (a.py - b.py) * (b.qx - b.px)"
+
+
+@query(_V + ", e AS (SELECT a.id l, b.id r, (a.qx - a.px) * (b.py - a.py) - (a.qy - a.py) * (b.px - a.px) t1, (a.qx - a.px) * (b.qy - a.py) - (a.qy - a.py) * (b.qx - a.px) t2, (b.qx - b.px) * (a.py - b.py) - (b.qy - b.py) * (a.px - b.px) t3, (b.qx - b.px) * (a.qy - b.py) - (b.qy - b.py) * (a.qx - b.px) t4 FROM sides a JOIN sides b ON a.id < b.id AND least(a.px, a.qx) <= greatest(b.px, b.qx) AND least(b.px, b.qx) <= greatest(a.px, a.qx) WHERE least(a.py, a.qy) <= greatest(b.py, b.qy) AND least(b.py, b.qy) <= greatest(a.py, a.qy)) SELECT DISTINCT l left_id, r right_id FROM e WHERE ((t1 > 0 AND t2 < 0) OR (t1 < 0 AND t2 > 0)) AND ((t3 > 0 AND t4 < 0) OR (t3 < 0 AND t4 > 0))")
+def area_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Zones as delivered whose borders cross."""
+    return J.overlapping_regions(V.area(spark, d), "id", "ring", 500.0)
+
+
+_KEY = "nullif(upper(trim({}, chr(32) || chr(9))), '')"
+_IN = "sum(CASE WHEN (py - y > 0) <> (qy - y > 0) AND ((px - x) * (qy - y) - (py - y) * (qx - x) > 0) = (qy > py) THEN 1 ELSE 0 END) % 2 = 1 AND NOT bool_or((px - x) * (qy - y) - (py - y) * (qx - x) = 0 AND least(px, qx) <= x AND greatest(px, qx) >= x AND least(py, qy) <= y AND greatest(py, qy) >= y)"
+
+
+@query(_V + f", s AS (SELECT id, x, y, {_KEY.format('\"ref\"')} r FROM csite), e AS (SELECT *, {_KEY.format('code')} k FROM sides), h AS (SELECT s.id, e.id zone, {_IN} held FROM s JOIN e ON e.k = s.r GROUP BY 1, 2), m AS (SELECT s.id, bool_or(held) held FROM s LEFT JOIN h ON h.id = s.id GROUP BY 1) SELECT id point_id, CASE WHEN held IS NULL THEN 'no region' ELSE 'outside' END why FROM m WHERE held IS NULL OR NOT held")
 def named_region(spark: SparkSession, d: str) -> DataFrame:
-    s = V.site(spark, d).withColumn("ref", F.concat(F.lit("Z"), (F.col("zone") + 5).cast("string")))
-    z = V.zone(spark, d).withColumn("code", F.concat(F.lit("z"), F.col("id").cast("string")))
-    return J.outside_named_region(s, "id", "ref", z, "code", "ring").select("point_id", "why")
+    """Branching boxes outside the zones their ref_pm names."""
+    return J.outside_named_region(V.site(spark, d), "id", "ref", V.area(spark, d), "code", "ring").select("point_id", "why")
 
 
-@query(_V + ", v AS (SELECT p.id, k, x, y, z.x0, z.y0, z.side FROM pt p JOIN zones z ON z.id = p.id % 25) SELECT id line_id, CAST(min(k) AS BIGINT) first_outside FROM v WHERE NOT (x > x0 AND x < x0 + side AND y > y0 AND y < y0 + side) GROUP BY 1")
+_CABLE = ", cable AS (SELECT a.id * 100000000 + b.id id, CAST(a.id AS VARCHAR) from_code, CAST(b.id AS VARCHAR) to_code, a.id l, b.id r, a.\"ref\", a.x ax, a.y ay, b.x bx, b.y b_y, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) d FROM csite a JOIN node b ON abs(a.x - b.x) <= 40 AND abs(a.y - b.y) <= 40 WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 40)"
+
+
+@query(_V + _CABLE + f", z AS (SELECT min(id) id, {_KEY.format('code')} k FROM areas WHERE code IS NOT NULL GROUP BY 2), v AS (SELECT id, 1 k, ax x, ay y, {_KEY.format('\"ref\"')} r FROM cable UNION ALL SELECT id, 2, bx, b_y, {_KEY.format('\"ref\"')} FROM cable), h AS (SELECT v.id, v.k, {_IN} held FROM v JOIN z ON z.k = v.r JOIN sides e ON e.id = z.id GROUP BY 1, 2), m AS (SELECT v.id, v.k, coalesce(h.held, false) held FROM v LEFT JOIN h ON h.id = v.id AND h.k = v.k) SELECT id line_id, CAST(min(k) AS BIGINT) first_outside FROM m WHERE NOT held GROUP BY 1")
 def vertices_in_zone(spark: SparkSession, d: str) -> DataFrame:
-    ln = V.line(spark, d).withColumn("ref", (F.col("id") % 25).cast("string"))
-    z = V.zone(spark, d).withColumn("code", F.col("id").cast("string"))
-    return J.lines_outside_region(ln, "id", "ref", z, "code", "ring").select("line_id", "first_outside")
+    """Cables with an end outside the zone they name (its first delivery)."""
+    first = V.area(spark, d).where("code IS NOT NULL").groupBy(ref_key("code").alias("code")).agg(F.min_by("ring", "id").alias("ring"))
+    return J.lines_outside_region(V.cable(spark, d), "id", "ref", first, "code", "ring").select("line_id", "first_outside")
 
 
-@query(_V + " SELECT z.id box_id, s.id point_id FROM zones z JOIN csite s ON s.x BETWEEN z.x0 AND z.x0 + z.side AND s.y BETWEEN z.y0 AND z.y0 + z.side")
+@query(_V + ", b AS (SELECT id, min(px) x0, max(px) x1, min(py) y0, max(py) y1 FROM sides GROUP BY 1) SELECT b.id box_id, s.fid point_id FROM b JOIN boite s ON s.x BETWEEN b.x0 AND b.x1 AND s.y BETWEEN b.y0 AND b.y1")
 def points_in_boxes(spark: SparkSession, d: str) -> DataFrame:
-    z = V.zone(spark, d).select("id", F.col("x0").alias("xmin"), (F.col("x0") + F.col("side")).alias("xmax"), F.col("y0").alias("ymin"), (F.col("y0") + F.col("side")).alias("ymax"))
-    return J.points_in_boxes(V.site(spark, d).select("id", "x", "y"), z, 100.0)
+    """Boxes in the bounding boxes of the zones."""
+    b = G.bbox(F.col("ring"))
+    z = V.area(spark, d).select("id", *[b[k].alias(k) for k in ("xmin", "xmax", "ymin", "ymax")])
+    return J.points_in_boxes(table(spark, d, "boite").select(F.col("fid").alias("id"), "x", "y"), z, 100.0)
 
 
 _CC = "reach(id, r) AS (SELECT id, id FROM v UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id)"
+# one pass over the candidates in order, each side taken once
+_GREEDY = "v AS (SELECT lk id FROM cand UNION SELECT rk FROM cand), e AS (SELECT lk a, rk b FROM cand UNION SELECT rk, lk FROM cand), " + _CC + ", c AS (SELECT id, min(r) c FROM reach GROUP BY 1), o AS (SELECT cand.*, c.c, row_number() OVER (PARTITION BY c.c ORDER BY round(d, 3), l, r) k FROM cand JOIN c ON c.id = cand.lk), g(c, k, taken, l, r, d) AS (SELECT DISTINCT c, 0::BIGINT, []::VARCHAR[], NULL::{kind}, NULL::{kind}, NULL::DOUBLE FROM o UNION ALL SELECT o.c, o.k, CASE WHEN list_contains(g.taken, o.lk) OR list_contains(g.taken, o.rk) THEN g.taken ELSE list_concat(g.taken, [o.lk, o.rk]) END, CASE WHEN list_contains(g.taken, o.lk) OR list_contains(g.taken, o.rk) THEN NULL ELSE o.l END, o.r, o.d FROM g JOIN o ON o.c = g.c AND o.k = g.k + 1) SELECT l left_id, r right_id, d FROM g WHERE l IS NOT NULL"
 
 
 @query(_V + f", v AS (SELECT id FROM node), e AS (SELECT a.id a, b.id b FROM node a JOIN node b ON a.id <> b.id AND {_D} <= 40), {_CC} SELECT id, min(r) \"cluster\" FROM reach GROUP BY 1")
@@ -104,21 +124,25 @@ def dbscan(spark: SparkSession, d: str) -> DataFrame:
     return R.dbscan(V.node(spark, d).select("id", "x", "y"), 60.0, 3)
 
 
-@query()
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """(a, b, w): the cables with their length in whole metres."""
+    return V.cable(spark, d).select(F.col("from_code").alias("a"), F.col("to_code").alias("b"), F.round(G.line_length(F.col("points"))).alias("w"))
+
+
+_PATHS = _V + _CABLE + ", s AS (SELECT code id, type || code seed FROM node WHERE capacite >= 144), e AS (SELECT from_code a, to_code b, round(d) w FROM cable UNION ALL SELECT to_code, from_code, round(d) FROM cable), walk(id, seed, dist) AS (SELECT id, seed, 0.0::DOUBLE FROM s UNION SELECT e.b, walk.seed, walk.dist + e.w FROM walk JOIN e ON e.a = walk.id WHERE walk.dist + e.w <= 400), best AS (SELECT id, min(dist) dist FROM walk GROUP BY 1), paths AS (SELECT walk.id, min(seed) seed, best.dist FROM walk JOIN best ON best.id = walk.id AND best.dist = walk.dist GROUP BY 1, 3)"
+
+
+@query(_PATHS + " SELECT * FROM paths WHERE dist <= 400")
 def domain_paths(spark: SparkSession, d: str) -> DataFrame:
-    n = cut(V.node(spark, d))
-    p = near_pairs(n, "id", "x", "y", 110.0)
-    c = lambda k: n.select(F.col("id").alias(k), F.struct("x", "y").alias(f"{k}p"))
-    e = p.join(c("left_id"), "left_id").join(c("right_id"), "right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.round(G.distance(F.col("left_idp.x"), F.col("left_idp.y"), F.col("right_idp.x"), F.col("right_idp.y"))).alias("w"))
-    return R.nearest_seed(e, n.where("nation IN (3, 8)").select("id", F.col("code").alias("seed")))
+    """Boxes with their nearest large box along the cables, up to 400 m."""
+    seeds = V.node(spark, d).where("capacite >= 144").select(F.col("code").alias("id"), F.concat("type", "code").alias("seed"))
+    return R.nearest_seed(_graph(spark, d), seeds).where("dist <= 400")
 
 
-@query()
+@query(_PATHS + " SELECT from_code a, to_code b, round(d) w, CASE WHEN p.seed <> q.seed THEN 'LINK' ELSE coalesce(p.seed, q.seed) END \"domain\" FROM cable LEFT JOIN paths p ON p.id = from_code LEFT JOIN paths q ON q.id = to_code")
 def domain_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Edges with the domain of their ends."""
-    s = cut(domain_paths(spark, d).select("id", "seed"))
-    p = near_pairs(V.node(spark, d), "id", "x", "y", 110.0).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    return R.tag_edges(p, s)
+    """Cables with the domain of their ends."""
+    return R.tag_edges(_graph(spark, d), cut(domain_paths(spark, d).select("id", "seed")))
 
 
 @query()
@@ -126,7 +150,7 @@ def label_assignment(spark: SparkSession, d: str) -> DataFrame:
     return P.assign_labels(V.site(spark, d).select("id", "x", "y"), V.node(spark, d).select("id", "x", "y"), 25.0)
 
 
-@query()
+@query(_V + f", cand AS (SELECT a.id l, b.id r, 'l' || a.id lk, 'r' || b.id rk, {_D} d FROM csite a JOIN node b ON abs(a.x - b.x) <= 30 AND abs(a.y - b.y) <= 30 WHERE {_D} <= 30), " + _GREEDY.format(kind="BIGINT"))
 def greedy_matching(spark: SparkSession, d: str) -> DataFrame:
     return R.greedy_matching(J.candidate_edges(V.site(spark, d).select("id", "x", "y"), V.node(spark, d).select("id", "x", "y"), 30.0))
 
@@ -149,50 +173,62 @@ def endpoint_snap(spark: SparkSession, d: str) -> DataFrame:
     return P.snap_endpoints(V.node(spark, d).select("id", "x", "y"), 45.0)
 
 
-@query()
-def endpoint_repair(spark: SparkSession, d: str) -> DataFrame:
-    return P.repair_endpoints(V.line(spark, d), V.node(spark, d).select("code", "x", "y"), 20.0, 60.0)
+_NEAREST = "e AS (SELECT id, 0 \"end\", ax x, ay y FROM cable UNION ALL SELECT id, 1, bx, b_y FROM cable), f AS (SELECT DISTINCT x, y FROM e), m AS (SELECT a.x, a.y, b.code, b.x nx, b.y ny, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) d FROM f a, node b WHERE b.type = 'BPE'), n AS (SELECT x, y, arg_min({'code': code, 'nx': nx, 'ny': ny, 'd': d}, {'d': d, 'code': code}) b FROM m GROUP BY 1, 2), j AS (SELECT e.id, e.\"end\", e.x, e.y, b.code, b.d, b.nx, b.ny, CASE WHEN b.d > 60 THEN 'FLOATING' WHEN b.d <= 20 THEN 'SNAP' ELSE 'ATTR_ONLY' END grade FROM e JOIN n ON n.x = e.x AND n.y = e.y)"
 
 
-def _cables(spark: SparkSession, d: str) -> DataFrame:
-    """Straight lines between neighbouring nodes."""
-    n = cut(V.node(spark, d))
-    p = near_pairs(n, "id", "x", "y", 90.0)
-    c = lambda k: n.select(F.col("id").alias(k), F.struct("x", "y").alias(f"{k}p"))
-    e = p.join(c("left_id"), "left_id").join(c("right_id"), "right_id")
-    return e.select((F.col("left_id") * 1_000_000 + F.col("right_id")).alias("id"), F.array("left_idp", "right_idp").alias("points"), F.lit("cable").alias("layer"))
+@query(_V + _CABLE + ", " + _NEAREST + ", w AS (SELECT p.id, p.code c0, p.d d0, p.grade g0, p.x px, p.y py, p.nx pnx, p.ny pny, q.code c1, q.d d1, q.grade g1, q.x qx, q.y qy, q.nx qnx, q.ny qny FROM j p JOIN j q ON p.id = q.id AND p.\"end\" = 0 AND q.\"end\" = 1), u AS (SELECT *, g0 = 'SNAP' AND sqrt(pow(pnx - qx, 2) + pow(pny - qy, 2)) >= 0.001 m0 FROM w), v AS (SELECT *, CASE WHEN m0 THEN pnx ELSE px END x0, CASE WHEN m0 THEN pny ELSE py END y0 FROM u), z AS (SELECT *, g1 = 'SNAP' AND sqrt(pow(qnx - x0, 2) + pow(qny - y0, 2)) >= 0.001 m1 FROM v) SELECT id line_id, 0 \"end\", c0 code, round(d0, 6) d, g0 grade, m0 moved, x0 x, y0 y FROM z UNION ALL SELECT id, 1, c1, round(d1, 6), g1, m1, CASE WHEN m1 THEN qnx ELSE qx END, CASE WHEN m1 THEN qny ELSE qy END FROM z")
+def endpoint_repair(spark: SparkSession, d: str) -> DataFrame:
+    """The cables' ends tied to the nearest BPE box."""
+    return P.repair_endpoints(V.cable(spark, d), V.node(spark, d).where("type = 'BPE'").select("code", "x", "y"), 20.0, 60.0).withColumn("d", F.round("d", 6))
 
 
-@query()
+@query(_V + _CABLE + ", m AS (SELECT c.id, c.ax, c.ay, c.bx, c.b_y, c.d len, CASE WHEN c.d = 0 THEN 0 ELSE greatest(0, least(1, ((n.x - c.ax) * (c.bx - c.ax) + (n.y - c.ay) * (c.b_y - c.ay)) / ((c.bx - c.ax) * (c.bx - c.ax) + (c.b_y - c.ay) * (c.b_y - c.ay)))) END t, n.x nx, n.y ny FROM cable c JOIN node n ON n.x BETWEEN least(c.ax, c.bx) - 5 AND greatest(c.ax, c.bx) + 5 WHERE n.y BETWEEN least(c.ay, c.b_y) - 5 AND greatest(c.ay, c.b_y) + 5), h AS (SELECT DISTINCT id, t * len s, len FROM m WHERE sqrt(pow(nx - ax - t * (bx - ax), 2) + pow(ny - ay - t * (b_y - ay), 2)) <= 5), k AS (SELECT id, s, s - coalesce(lag(s) OVER (PARTITION BY id ORDER BY s), 0) step FROM h WHERE s >= 0.01 AND len - s >= 0.01), c AS (SELECT id, s FROM k WHERE step >= 0.01 UNION ALL SELECT id, d FROM cable), p AS (SELECT id, row_number() OVER w - 1 part, s - coalesce(lag(s) OVER w, 0) len FROM c WINDOW w AS (PARTITION BY id ORDER BY s)) SELECT id line_id, CAST(part AS INTEGER) part, CAST(CASE WHEN len = 0 THEN 1 ELSE 2 END AS INTEGER) n_points, round(len, 4) len FROM p")
 def split_lines(spark: SparkSession, d: str) -> DataFrame:
-    s = P.split_at_nodes(_cables(spark, d), V.node(spark, d), 5.0)
-    return s.select("line_id", "part", F.size("points").alias("n_points"), F.round(G.line_length(F.col("points")), 6).alias("len"))
+    s = P.split_at_nodes(V.cable(spark, d), V.node(spark, d), 5.0)
+    return s.select("line_id", "part", F.size("points").alias("n_points"), F.round(G.line_length(F.col("points")), 4).alias("len"))
 
 
 @query()
 def chain_lines(spark: SparkSession, d: str) -> DataFrame:
-    few = V.node(spark, d).where("balance < 0").select("x", "y")
-    return P.chains(cut(_cables(spark, d)), few, 0.5, 5.0).select("chain", "n_lines", F.round("length", 6).alias("length"), F.size("points").alias("n_points"))
+    return P.chains(cut(V.cable(spark, d)), V.node(spark, d).select("x", "y"), 0.5, 5.0).select("chain", "n_lines", F.round("length", 6).alias("length"), F.size("points").alias("n_points"))
 
 
-@query()
+@query(_V + _CABLE + f", ends AS (SELECT id || ':0' id, id line, ax x, ay y, CASE WHEN d > 0 THEN (ax - bx) / d ELSE 0 END dx, CASE WHEN d > 0 THEN (ay - b_y) / d ELSE 0 END dy FROM cable UNION ALL SELECT id || ':1', id, bx, b_y, CASE WHEN d > 0 THEN (bx - ax) / d ELSE 0 END, CASE WHEN d > 0 THEN (b_y - ay) / d ELSE 0 END FROM cable), near AS (SELECT a.id, min({_D}) nd FROM ends a JOIN node b ON abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8 WHERE {_D} <= 8 GROUP BY 1), cand AS (SELECT a.id l, b.id r, a.id lk, b.id rk, {_D} d FROM ends a JOIN ends b ON a.id < b.id AND a.line <> b.line AND abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8 LEFT JOIN near p ON p.id = a.id LEFT JOIN near q ON q.id = b.id WHERE {_D} <= 8 AND -(a.dx * b.dx + a.dy * b.dy) >= 0.5 AND (p.nd IS NULL OR {_D} < p.nd) AND (q.nd IS NULL OR {_D} < q.nd)), " + _GREEDY.format(kind="VARCHAR"))
 def gap_bridges(spark: SparkSession, d: str) -> DataFrame:
-    lines = cut(_cables(spark, d))
-    return P.gap_bridges(lines, V.node(spark, d).where("balance < 0").select("x", "y"), 8.0, 0.5)
-
-
-@query()
+    return P.gap_bridges(cut(V.cable(spark, d)), V.node(spark, d).select("x", "y"), 8.0, 0.5)
+
+
+_AXIS = """q{a} AS (SELECT source_dwg, greatest(100, 0.15 * (quantile_cont({a}, 0.9) - quantile_cont({a}, 0.1))) gap FROM f GROUP BY 1),
+s{a} AS (SELECT id, f.source_dwg, {a} v, gap, CASE WHEN {a} - lag({a}) OVER (PARTITION BY f.source_dwg ORDER BY {a}) > gap THEN 1 ELSE 0 END n FROM f JOIN q{a} USING (source_dwg)),
+i{a} AS (SELECT id, source_dwg, v, gap, CAST(sum(n) OVER (PARTITION BY source_dwg ORDER BY v) AS BIGINT) island FROM s{a}),
+e{a} AS (SELECT source_dwg, island, count(*) n, min(v) lo, max(v) hi, any_value(gap) gap FROM i{a} GROUP BY 1, 2),
+m{a} AS (SELECT source_dwg, arg_max({{'i': island, 'lo': lo, 'hi': hi}}, {{'n': n, 'k': -island}}) b FROM e{a} GROUP BY 1),
+g{a} AS (SELECT i.id, i.source_dwg, '{a}' axis, i.source_dwg || '/{a}/' || i.island g, e.gap, greatest(0, CASE WHEN e.hi < b.b.lo THEN b.b.lo - e.hi ELSE e.lo - b.b.hi END) sep FROM i{a} i JOIN e{a} e ON e.source_dwg = i.source_dwg AND e.island = i.island JOIN m{a} b ON b.source_dwg = i.source_dwg WHERE i.island <> b.b.i)"""
+
+
+@query("WITH RECURSIVE f AS (SELECT entity_id id, source_dwg, cx x, cy y, upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))) t FROM intermediate_pipeline_dump WHERE cx IS NOT NULL AND cy IS NOT NULL), " + ", ".join(_AXIS.format(a=a) for a in "xy") + """,
+g AS (SELECT * FROM gx UNION ALL SELECT * FROM gy), l AS (SELECT DISTINCT a.g a, b.g b FROM g a JOIN g b ON a.id = b.id), reach(id, r) AS (SELECT a, a FROM l UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.id), c AS (SELECT id g, min(r) m FROM reach GROUP BY 1),
+k AS (SELECT m, source_dwg, count(DISTINCT id) members, string_agg(DISTINCT axis, ',' ORDER BY axis) axes, max(sep) sep, max(gap) gap FROM g JOIN c USING (g) GROUP BY 1, 2), tot AS (SELECT source_dwg, count(*) n FROM f GROUP BY 1),
+ok AS (SELECT k.* FROM k JOIN tot USING (source_dwg) WHERE n >= 10 AND members >= 3 AND members <= 0.5 * n), mem AS (SELECT DISTINCT m, g.id FROM g JOIN c USING (g)), box AS (SELECT m, min(x) xmin, max(x) xmax, min(y) ymin, max(y) ymax FROM mem JOIN f USING (id) GROUP BY 1),
+fen AS (SELECT ok.*, xmin, xmax, ymin, ymax, greatest(10, 0.25 * sqrt(pow(xmax - xmin, 2) + pow(ymax - ymin, 2))) fence FROM ok JOIN box USING (m)), term(a) AS (VALUES ('LEGEND'), ('LEGENDA'), ('SYMBOL'), ('SIMBOL'), ('DESIGN SUMMARY'), ('SPLICING'), ('CABLE TYPE'), ('KETERANGAN'), ('FDT'), ('LAYOUT')),
+hit AS (SELECT DISTINCT fen.m, a FROM fen JOIN f ON f.source_dwg = fen.source_dwg AND f.x BETWEEN xmin - fence AND xmax + fence AND f.y BETWEEN ymin - fence AND ymax + fence JOIN term ON contains(f.t, a)),
+best AS (SELECT m, string_agg(a, ',' ORDER BY a) anchors FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.m = h.m AND o.a <> h.a AND contains(o.a, h.a)) GROUP BY 1),
+conf AS (SELECT fen.*, coalesce(anchors, '') anchors, 0.6 * least(1, sep / (2 * gap)) + CASE WHEN anchors IS NULL THEN 0 ELSE 0.4 END confidence FROM fen LEFT JOIN best USING (m))
+SELECT source_dwg, printf('LC-%03d', row_number() OVER (PARTITION BY source_dwg ORDER BY confidence DESC, members DESC, xmin, ymin)) "cluster", members, axes, anchors, round(confidence, 4) confidence, round(sep, 4) separation, xmin, xmax, ymin, ymax FROM conf WHERE confidence >= 0.25""")
 def legend(spark: SparkSession, d: str) -> DataFrame:
-    """Legend clusters of one drawing's labels."""
-    e = table(spark, d, "intermediate_pipeline_dump").select(F.col("entity_id").cast("string").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "text")
-    return legend_clusters(e)[0]
+    """Legend clusters of each drawing's labels."""
+    e = table(spark, d, "intermediate_pipeline_dump").select("source_dwg", F.col("entity_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "text")
+    return legend_clusters(e, ["source_dwg"])[0].withColumn("anchors", F.array_join("anchors", ","))
 
 
-@query("WITH RECURSIVE x AS (SELECT 1) SELECT c component, y layout, CAST(count(*) FILTER (WHERE f) AS BIGINT) exact FROM (SELECT DISTINCT l_suppkey % 20 c, l_partkey % 30 k FROM lineitem) a JOIN (SELECT DISTINCT o_custkey % 10 y, o_orderkey % 30 k, true f FROM orders) b USING (k) GROUP BY 1, 2")
+@query("WITH c AS (SELECT DISTINCT ref_plaque component, replace(upper(trim(code)), '-', '.') label FROM boite WHERE trim(code) <> ''), y AS (SELECT DISTINCT replace(substr(upper(trim(code)), 1, 7), '-', '.') layout, replace(upper(trim(code)), '-', '.') label FROM boite WHERE type = 'PBO' AND trim(code) <> ''), n AS (SELECT DISTINCT layout FROM y WHERE layout <> ''), x AS (SELECT component, layout, label, 2 s FROM c JOIN y USING (label) UNION ALL SELECT component, layout, label, 1 FROM c JOIN n ON c.label = n.layout OR starts_with(c.label, n.layout || '.')), m AS (SELECT component, layout, label, max(s) s FROM x GROUP BY ALL) SELECT component, layout, count(*) FILTER (WHERE s = 2) exact, count(*) FILTER (WHERE s = 1) prefix, CAST(sum(s) AS BIGINT) score FROM m WHERE component IS NOT NULL GROUP BY ALL")
 def label_scores(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("component"), F.concat(F.lit("K"), (F.col("l_partkey") % 30).cast("string")).alias("label"))
-    y = table(spark, d, "orders").select((F.col("o_custkey") % 10).cast("string").alias("layout"), F.concat(F.lit("K"), (F.col("o_orderkey") % 30).cast("string")).alias("label"))
-    return J.label_scores(c, y).select("component", F.col("layout").cast("bigint").alias("layout"), "exact")
+    """Areas of boxes against the code ranges of the branching boxes."""
+    label = F.replace(F.upper(F.trim("code")), F.lit("-"), F.lit("."))
+    b = table(spark, d, "boite").where("trim(code) <> ''")
+    c = b.where("ref_plaque IS NOT NULL").select(F.col("ref_plaque").alias("component"), label.alias("label"))
+    y = b.where("type = 'PBO'").select(F.replace(F.substring(F.upper(F.trim("code")), 1, 7), F.lit("-"), F.lit(".")).alias("layout"), label.alias("label"))
+    return J.label_scores(c, y)
 
 
 @query(_V + ", q AS (SELECT id, string_agg(printf('%.2f,%.2f', x, y), ';' ORDER BY k) p FROM pt GROUP BY id), t AS (SELECT id, p, id % 2 = 1 bare FROM (SELECT id, p FROM q UNION ALL SELECT id + 100000, p FROM q)), r AS (SELECT id, row_number() OVER (PARTITION BY p ORDER BY bare, id) k FROM t) SELECT id FROM r WHERE k = 1")
@@ -202,16 +238,19 @@ def duplicate_lines(spark: SparkSession, d: str) -> DataFrame:
     return J.duplicate_lines(both.select("id", F.lit("l").alias("layer"), "points", F.when(F.col("id") % 2 == 0, "text").alias("text"))).select("id")
 
 
-@query(_V + f", e AS (SELECT a.id l, b.id r, round(0.7 * exp(-{_D} / 20.0) + 0.3 * CASE WHEN a.type = 'BUILDING' THEN 1.0 ELSE 0.3 END, 12) s FROM csite a JOIN node b ON abs(a.x - b.x) <= 100 AND abs(a.y - b.y) <= 100 WHERE {_D} <= 100), m AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY s DESC, r) k FROM e WHERE s >= 0.6) SELECT l text_id, r geometry_id, round(s, 6) score FROM m WHERE k = 1")
+@query(_V + f", e AS (SELECT a.id l, b.id r, round(0.7 * exp(-{_D} / 20.0) + 0.3 * CASE WHEN a.mode_pose = 'FACADE' THEN 1.0 ELSE 0.3 END, 12) s FROM csite a JOIN node b ON abs(a.x - b.x) <= 100 AND abs(a.y - b.y) <= 100 WHERE {_D} <= 100), m AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY s DESC, r) k FROM e WHERE s >= 0.6) SELECT l text_id, r geometry_id, round(s, 6) score FROM m WHERE k = 1")
 def semantic_link(spark: SparkSession, d: str) -> DataFrame:
-    t = V.site(spark, d).select("id", "x", "y", F.when(F.col("type") == "BUILDING", 1.0).otherwise(0.3).alias("semantic"))
+    t = V.site(spark, d).select("id", "x", "y", F.when(F.col("mode_pose") == "FACADE", 1.0).otherwise(0.3).alias("semantic"))
     return J.scored_links(t, V.node(spark, d).select("id", "x", "y"), 20.0).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT n, round(m, 9) max_residual, round(a, 9) mean_residual, CASE WHEN m <= 0.0012 THEN 'PASS' WHEN m <= 0.0015 THEN 'WARN' WHEN m <= 200 THEN 'PRECISION_COARSE' ELSE 'FAIL' END gate FROM (SELECT count(*) n, max(r) m, avg(r) a FROM (SELECT sqrt(pow(s_suppkey % 7 * 0.0001, 2) + pow(s_suppkey % 5 * 0.0002, 2)) r FROM supplier))")
+@query("WITH r AS (SELECT s_nationkey nation, CASE WHEN s_nationkey % 4 = 3 THEN NULL ELSE sqrt(pow(s_suppkey % 7 * 0.0001, 2) + pow(s_suppkey % 5 * 0.0002, 2)) * CASE s_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1.35 ELSE 2 END END r FROM supplier) SELECT nation, count(r) n, round(max(r), 9) max_residual, round(avg(r), 9) mean_residual, CASE WHEN count(r) = 0 THEN 'PRECISION_COARSE' WHEN max(r) > 0.0015 THEN 'FAIL' WHEN max(r) > 0.0012 THEN 'WARN' ELSE 'PASS' END gate FROM r GROUP BY 1")
 def gcp_residuals(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").select((F.col("s_suppkey") % 7 * 0.0001).alias("dx"), (F.col("s_suppkey") % 5 * 0.0002).alias("dy"))
-    return A.residual_gate(s, "dx", "dy").withColumns({c: F.round(c, 9) for c in ("max_residual", "mean_residual")})
+    """Residuals of control points by nation, some with none."""
+    k = F.col("s_nationkey") % 4
+    scale = F.when(k == 0, 1.0).when(k == 1, 1.35).when(k == 2, 2.0)
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 7 * 0.0001 * scale).alias("dx"), (F.col("s_suppkey") % 5 * 0.0002 * scale).alias("dy"))
+    return A.residual_gate(s, "dx", "dy", group=["nation"]).withColumns({c: F.round(c, 9) for c in ("max_residual", "mean_residual")})
 
 
 @query("WITH h AS (SELECT source_dwg, CASE WHEN cy > 101000 THEN 'A' WHEN cy < 99000 THEN 'B' ELSE 'UNKNOWN' END h FROM intermediate_pipeline_dump), c AS (SELECT source_dwg, h, count(*) n, sum(count(*)) OVER (PARTITION BY source_dwg) t, row_number() OVER (PARTITION BY source_dwg ORDER BY count(*) DESC, h) k FROM h GROUP BY 1, 2) SELECT source_dwg, CAST(t AS BIGINT) n, h regime, round(n / t, 6) strength FROM c WHERE k = 1")

@@ -1,4 +1,4 @@
-"""Spatial views over the plain tables, with the same arithmetic in both engines."""
+"""Spatial views over the tables, the same in both engines."""
 
 from __future__ import annotations
 
@@ -9,15 +9,15 @@ from netloom.session import table
 
 
 def node(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("code"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"), (F.col("s_suppkey") * 7919 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 104729 % 1000).cast("double").alias("y"))
+    """The larger boxes with a position: what labels and lines are tied to."""
+    b = table(spark, d, "boite").where("type IN ('BPE', 'BPI', 'PTO') AND x IS NOT NULL AND y IS NOT NULL")
+    return b.select(F.col("fid").alias("id"), F.col("fid").cast("string").alias("code"), "type", "ref_pm", "capacite", "x", "y")
 
 
 def site(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("type"), F.col("c_nationkey").alias("zone"), (F.col("c_custkey") * 7919 % 1000).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 997).cast("double").alias("y"))
-
-
-def edge(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"), F.col("l_quantity").alias("w"), F.concat("l_returnflag", "l_linestatus").alias("layer"))
+    """The branching boxes with a position, and the zone they name."""
+    b = table(spark, d, "boite").where("type = 'PBO' AND x IS NOT NULL AND y IS NOT NULL")
+    return b.select(F.col("fid").alias("id"), F.col("ref_pm").alias("ref"), "mode_pose", "x", "y")
 
 
 def zone(spark: SparkSession, d: str, overlap: float = 10.0) -> DataFrame:
@@ -27,17 +27,34 @@ def zone(spark: SparkSession, d: str, overlap: float = 10.0) -> DataFrame:
     return n.withColumn("ring", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))).withColumn("side", side)
 
 
+def area(spark: SparkSession, d: str) -> DataFrame:
+    """The zones with a ring, one row a delivery."""
+    return table(spark, d, "zpm").where("size(ring) >= 3").select(F.col("fid").alias("id"), "code", "ring")
+
+
 def line(spark: SparkSession, d: str) -> DataFrame:
-    """A line for each user, its events in order: the day of the month and the value as coordinates."""
+    """A line for each user, its events in order: a number and the value as coordinates."""
     e = table(spark, d, "events").select("user_id", "event_id", "ts", F.round("value", 2).alias("v"))
     p = F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_id") % 997).cast("double").alias("x"), F.col("v").alias("y"))))
     return e.groupBy("user_id").agg(p.alias("p")).select(F.col("user_id").alias("id"), F.transform("p", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("points"))
 
 
+def cable(spark: SparkSession, d: str, reach: float = 40.0) -> DataFrame:
+    """Straight lines from each branching box to the larger boxes within reach, in the zone the branching box names."""
+    from netloom.operators.joins import candidate_edges
+
+    s, n = site(spark, d), node(spark, d)
+    e = candidate_edges(s.select("id", "x", "y"), n.select("id", "x", "y"), reach)
+    at = lambda df, k, *more: df.select(F.col("id").alias(f"{k}_id"), F.struct("x", "y").alias(f"{k}_p"), *more)
+    e = e.join(at(s, "left", "ref"), "left_id").join(at(n, "right"), "right_id")
+    return e.select((F.col("left_id") * 100_000_000 + F.col("right_id")).alias("id"), F.col("left_id").cast("string").alias("from_code"), F.col("right_id").cast("string").alias("to_code"), "ref", F.array("left_p", "right_p").alias("points"), F.lit("cable").alias("layer"))
+
+
 SQL_VIEWS = """
-node AS (SELECT s_suppkey id, s_name code, CAST(s_suppkey * 7919 % 1000 AS DOUBLE) x, CAST(s_suppkey * 104729 % 1000 AS DOUBLE) y FROM supplier),
-csite AS (SELECT c_custkey id, c_mktsegment AS type, c_nationkey AS zone, CAST(c_custkey * 7919 % 1000 AS DOUBLE) x, CAST(c_custkey * 104729 % 997 AS DOUBLE) y FROM customer),
-edge AS (SELECT 's' || l_suppkey a, 'p' || l_partkey b, l_quantity w, l_returnflag || l_linestatus layer FROM lineitem),
+node AS (SELECT fid id, CAST(fid AS VARCHAR) code, type, ref_pm, capacite, x, y FROM boite WHERE type IN ('BPE', 'BPI', 'PTO') AND x IS NOT NULL AND y IS NOT NULL),
+csite AS (SELECT fid id, ref_pm AS "ref", mode_pose, x, y FROM boite WHERE type = 'PBO' AND x IS NOT NULL AND y IS NOT NULL),
 zones AS (SELECT n_nationkey id, CAST(n_nationkey % 5 * 200 AS DOUBLE) x0, CAST(n_nationkey // 5 * 200 AS DOUBLE) y0, CASE WHEN n_nationkey % 2 = 0 THEN 210.0::DOUBLE ELSE 200.0::DOUBLE END side FROM nation),
+areas AS (SELECT fid id, code, ring, len(ring) n FROM zpm WHERE len(ring) >= 3),
+sides AS (SELECT id, code, s.p.x px, s.p.y py, s.q.x qx, s.q.y qy FROM (SELECT id, code, unnest(list_transform(range(1, n + 1), lambda i: {'p': ring[i], 'q': ring[i % n + 1]})) s FROM areas)),
 pt AS (SELECT user_id id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) k, CAST(event_id % 997 AS DOUBLE) x, round(value, 2) y FROM events)
 """

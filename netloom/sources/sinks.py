@@ -60,7 +60,9 @@ def write_styles(histogram: DataFrame, folder: str) -> dict:
     import hashlib
 
     out: dict = {}
-    rows = histogram.orderBy("layer", F.desc("n"), "style_key").limit(EXPORT_ROWS).collect()
+    if (n := histogram.count()) > EXPORT_ROWS:
+        raise ValueError(f"{n} style categories: too many for style files")
+    rows = histogram.orderBy("layer", F.desc("n"), "style_key").collect()
     Path(folder).mkdir(parents=True, exist_ok=True)
     for layer in dict.fromkeys(r["layer"] for r in rows):
         xml = style_xml([(r["style_key"], r["rgba"], r["n"]) for r in rows if r["layer"] == layer])

@@ -71,24 +71,21 @@ def test_nearest_seed_is_dijkstra(spark):
     assert got == best
 
 
-@pytest.mark.parametrize("bound", [R.EXACT_EDGES, 0])
-def test_assignment_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(R, "EXACT_EDGES", bound)
+def test_assignment_brute_force(spark):
     random.seed(6)
     e = {(random.randrange(6), random.randrange(6)): float(random.randrange(1, 50)) for _ in range(14)}
     rows = [(a, b, d) for (a, b), d in e.items()]
-    got = [(r["left_id"], r["right_id"], r["d"]) for r in R.best_assignment(spark.createDataFrame(rows, "left_id long, right_id long, d double")).collect()]
+    df = spark.createDataFrame(rows, "left_id long, right_id long, d double")
+    got = [(r["left_id"], r["right_id"], r["d"]) for r in R.best_assignment(df).collect()]
     assert len({g[0] for g in got}) == len({g[1] for g in got}) == len(got)
-    if bound:
-        best = max((len(s), -sum(x[2] for x in s)) for k in range(7) for s in itertools.combinations(rows, k) if len({x[0] for x in s}) == len({x[1] for x in s}) == k)
-        assert (len(got), -sum(g[2] for g in got)) == best
-    else:
-        taken, out = set(), []
-        for a, b, d in sorted(rows, key=lambda r: (round(r[2], 3), r[0], r[1])):
-            if ("l", a) not in taken and ("r", b) not in taken:
-                taken |= {("l", a), ("r", b)}
-                out.append((a, b, d))
-        assert sorted(got) == sorted(out)
+    best = max((len(s), -sum(x[2] for x in s)) for k in range(7) for s in itertools.combinations(rows, k) if len({x[0] for x in s}) == len({x[1] for x in s}) == k)
+    assert (len(got), -sum(g[2] for g in got)) == best
+    taken, out = set(), []
+    for a, b, d in sorted(rows, key=lambda r: (round(r[2], 3), r[0], r[1])):
+        if ("l", a) not in taken and ("r", b) not in taken:
+            taken |= {("l", a), ("r", b)}
+            out.append((a, b, d))
+    assert sorted(tuple(r) for r in R.greedy_matching(df).collect()) == sorted(out)
 
 
 LINE = "id long, points array<struct<x:double,y:double>>, layer string"

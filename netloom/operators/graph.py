@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators.spatial import near_pairs
-from netloom.session import cut
+from netloom.session import cut, release
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
         large = both.join(least, "x").where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u <> v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
-        e = cut(small)
+        old, e = e, cut(small)
+        release(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -61,10 +62,12 @@ def nearest_seed(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     both = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"), "w")).where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min("w").alias("w")))
     best = cut(seeds.select("id", F.struct(F.lit(0.0).alias("dist"), F.col("seed").cast("string").alias("seed")).alias("b")).groupBy("id").agg(F.min("b").alias("b")))
-    front = best
+    front, joined = best, None
     while True:
         reach = front.join(both, front["id"] == both["x"]).select(F.col("y").alias("id"), F.struct((F.col("b.dist") + F.col("w")).alias("dist"), F.col("b.seed").alias("seed")).alias("n")).groupBy("id").agg(F.min("n").alias("n"))
-        joined = cut(best.join(reach, "id", "full_outer").select("id", "b", "n", (F.col("n").isNotNull() & (F.col("b").isNull() | (F.col("n") < F.col("b")))).alias("better")))
+        old, joined = joined, cut(best.join(reach, "id", "full_outer").select("id", "b", "n", (F.col("n").isNotNull() & (F.col("b").isNull() | (F.col("n") < F.col("b")))).alias("better")))
+        if old is not None:
+            release(old)
         front = joined.where("better").select("id", F.col("n").alias("b"))
         if front.isEmpty():
             return best.select("id", "b.seed", "b.dist")
@@ -94,7 +97,8 @@ def greedy_matching(candidates: DataFrame, one_set: bool = False) -> DataFrame:
         first = cut(rest.join(at("__l"), "__l").join(at("__r"), "__r").where("o = __l_m AND o = __r_m").select("left_id", "right_id", "d", "__l", "__r"))
         taken = first if taken is None else taken.unionByName(first)
         gone = first.select(F.explode(F.array("__l", "__r")).alias("e"))
-        rest = cut(rest.join(gone, F.col("__l") == F.col("e"), "left_anti").join(gone, F.col("__r") == F.col("e"), "left_anti"))
+        old, rest = rest, cut(rest.join(gone, F.col("__l") == F.col("e"), "left_anti").join(gone, F.col("__r") == F.col("e"), "left_anti"))
+        release(old)
     return (taken if taken is not None else candidates).select("left_id", "right_id", "d")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,14 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; one of our own only where the session names none."""
+    """The folder all executors share, as the session names it.
+
+    Where it names none, a session that runs on this machine alone gets one of its own; on a cluster that is an error.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and sc.getCheckpointDir() is None:
-        named = tempfile.mkdtemp(prefix="netloom-checkpoint-")
-    if named and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named or sc.getCheckpointDir()
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or f"file://{sc._jvm.java.lang.System.getProperty('java.io.tmpdir')}/netloom-{sc.applicationId}")
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,7 +30,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least the session's shuffle partitions, for work that is dear by the row; a table of enough files is left as it is."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def release(df: DataFrame) -> None:
+    """Delete what cut wrote for df, which nothing may read any more; loops call it for the round they have replaced."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df over at least `parts` partitions (the session's shuffle partitions by default), for work that is dear by the row; a table of enough splits is left as it is."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

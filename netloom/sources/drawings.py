@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.session import path_exists
+
 #: Entities that are no geometry, those read as geometry, and the dimension kinds (fixed values).
 CONTROL = ["BLOCK", "ENDBLK", "SEQEND", "ATTDEF"]
 GEOMETRY = ["LINE", "LWPOLYLINE", "CIRCLE", "ARC", "TEXT", "MTEXT", "ATTRIB", "INSERT", "POINT"]
@@ -81,7 +83,7 @@ def layout_facts(entities: DataFrame, id_tag: str = "FDT_ID", sequence_tag: str
 
 def vocabulary(spark: SparkSession, path: str, fallback: list[str]) -> DataFrame:
     """(value): first fields of a ;-separated file, upper case, in their first order; the fallback where there is no file."""
-    if not Path(path).exists():
+    if not path_exists(spark, path):
         return spark.createDataFrame([(v.upper(),) for v in dict.fromkeys(fallback)], "value string")
     rows = spark.read.csv(path, sep=";", schema="value string").select(F.upper(F.trim("value")).alias("value"), F.monotonically_increasing_id().alias("k")).where("value <> ''")
     return rows.groupBy("value").agg(F.min("k").alias("k")).orderBy("k").select("value")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators.aggregates import conservation_check
+from netloom.session import path_exists
 
 #: Rows that the single-file exports may have: they go through the driver.
 EXPORT_ROWS = 1_000_000
@@ -45,7 +46,7 @@ def write_evidence(path: str, ledger: DataFrame, expected: int, candidates: Data
 
 def read_table(spark, path: str) -> DataFrame | None:
     """A table, or None if it isn't there."""
-    return spark.read.parquet(path) if Path(path.removeprefix("file://")).exists() else None
+    return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
 def style_xml(categories: list[tuple[str, str, int]]) -> str:

@@ -1,24 +1,26 @@
 """Mixing sources to target weights (problem 7).
 
 Each source's tokens, its documents in a pseudorandom order, are packed into blocks of a fixed length. The source
-counts of every output shard are multinomial draws conditioned on exact totals; a shard's slots are mapped through
-pseudorandom permutations of the source's block indices, a new one for each repetition, and joined to the blocks by
-index. No block, and so no document, is used more often than its source allows.
+counts of every output shard are multinomial draws conditioned on exact totals (hypergeometric ones, drawn source by source
+at any size); a shard's slots are mapped through pseudorandom permutations of the source's block indices, a new one for each
+repetition, and joined to the blocks by index. No block, and so no document, is used more often than its source allows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netloom.session import cut
 
-#: Output shards at most: with the number of sources the bound of what the driver draws.
-MAX_SHARDS = 4096
+#: Slots that are written out from one row.
+CHUNK = 65_536
 #: Documents of a source that are ordered together, about.
 SEGMENT = 50_000
 
@@ -60,20 +62,56 @@ def totals(shares: dict[str, float], repeats: dict[str, int], have: dict[str, in
     return out
 
 
-def _steps(n: int, rng: np.random.Generator) -> tuple[int, int]:
-    """a and b of the permutation i -> (a i + b) mod n."""
-    a = int(rng.integers(max(1, n // 3), max(2, n)))
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a % n if n > 1 else 0, int(rng.integers(0, n))
+def hypergeometric(good: int, bad: int, sample: int, rng: np.random.Generator) -> int:
+    """How many good ones a sample drawn without replacement holds, by rejection from a ratio of uniforms.
 
-
-def mix(sized: DataFrame, targets: DataFrame, block: int = 256, seed: int = 17) -> DataFrame:
+    The time doesn't depend on the sizes, and Python's integers don't overflow; the log-gamma function is exact to some
+    1e-3 at 1e12, which is the only approximation.
+    """
+    if min(good, sample) == 0:
+        return 0
+    if bad == 0 or sample == good + bad:
+        return min(good, sample)
+    size, less, m = good + bad, min(good, bad), min(sample, good + bad - sample)
+    more = size - less
+    p = less / size
+    centre, spread = m * p + 0.5, math.sqrt((size - m) * m / (size - 1) * p * (1 - p) + 0.5)
+    width = 1.7155277699214135 * spread + 0.8989161620588988  # 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e)
+    log_p = lambda k: math.lgamma(k + 1) + math.lgamma(less - k + 1) + math.lgamma(m - k + 1) + math.lgamma(more - m + k + 1)
+    peak = log_p((m + 1) * (less + 1) // (size + 2))
+    top = min(min(m, less) + 1, math.floor(centre + 16 * spread))
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        w = centre + width * (v - 0.5) / u
+        if 0 <= w < top and 2 * math.log(u) <= peak - log_p(math.floor(w)):
+            break
+    k = math.floor(w)
+    k = m - k if good > bad else k
+    return k if m == sample else good - k
+
+
+def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A pseudorandom permutation of 0 .. n - 1 applied to i: six Feistel rounds, walked on until the result is below n."""
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    mask = np.uint64((1 << int(half)) - 1)
+    out, todo = i.astype(np.uint64), np.arange(len(i))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for r in range(6):
+            h = (right + np.uint64((key + r * 0x9E3779B97F4A7C15) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((h ^ (h >> np.uint64(29))) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= np.uint64(n)]
+    return out.astype(np.int64)
+
+
+def mix(sized: DataFrame, targets: DataFrame, block: int = 256, seed: int = 17, shards: int = 256) -> DataFrame:
     """(shard, slot, source, repetition, block, doc_id, tok_start, tok_end): the mix, a row for each document part.
 
     sized: doc_id, source, n_tokens; targets: source, target_share, max_repeats (a closed list of sources, collected).
     Null sources and sources without a target are left out, as are targets without documents. The same seed gives the
-    same mix. Indices stay below 3e9 blocks a source, as a product of two has to fit a bigint.
+    same mix. The mix is dealt to `shards` output shards of equal size (to one slot), empty ones where it has fewer slots.
     """
     spark = sized.sparkSession
     goal = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("source IS NOT NULL").select("source", "target_share", "max_repeats").collect()}
@@ -82,23 +120,37 @@ def mix(sized: DataFrame, targets: DataFrame, block: int = 256, seed: int = 17)
     have = {r["source"]: r["n"] for r in parts.groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}
     n = totals({s: g[0] for s, g in goal.items()}, {s: g[1] for s, g in goal.items()}, have)
     names, rng = sorted(n), np.random.default_rng(seed)
-    left, size = np.array([n[s] for s in names], np.int64), sum(n.values())
-    shards = min(MAX_SHARDS, max(1, size // 256))
+    left, size = dict(n), sum(n.values())
     draws, first = [], dict.fromkeys(names, 0)
-    for k in range(shards if size else 0):
-        slots = size * (k + 1) // shards - size * k // shards
-        got = rng.multivariate_hypergeometric(left, slots, method="marginals") if left.sum() < 10**9 else np.minimum(rng.multinomial(slots, left / left.sum()), left)
-        left = left - got
-        for s, c in zip(names, got.tolist()):
+    for k in range(shards):
+        slots, rest = size * (k + 1) // shards - size * k // shards, sum(left.values())
+        for s in names:
+            rest -= left[s]
+            c = hypergeometric(left[s], rest, slots, rng)
+            slots, left[s] = slots - c, left[s] - c
             if c:
                 draws.append((k, s, first[s], first[s] + c))
                 first[s] += c
-    turns = [(s, r, have[s], *_steps(have[s], rng)) for s in names for r in range(goal[s][1])]
-    slots = spark.createDataFrame(draws, "shard int, source string, lo long, hi long").select("shard", "source", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("i"))
-    turn = spark.createDataFrame(turns, "source string, repetition int, n long, a long, b long")
-    size_of = F.create_map(*[F.lit(x) for s in names for x in (s, have[s])]) if names else F.create_map().cast("map<string,bigint>")
-    slots = slots.withColumn("n", F.element_at(size_of, F.col("source"))).withColumn("repetition", F.floor(F.col("i") / F.col("n")).cast("int")).drop("n")
-    slots = slots.join(F.broadcast(turn), ["source", "repetition"]).select("shard", "source", "repetition", F.col("i").alias("slot"), F.pmod(F.col("a") * F.pmod(F.col("i"), F.col("n")) + F.col("b"), F.col("n")).alias("block"))
+    turns = [(s, r, have[s], int(rng.integers(0, 2**62))) for s in names for r in range(goal[s][1])]
+    turn = spark.createDataFrame(turns, "source string, repetition int, n long, key long")
+    of = spark.createDataFrame([(s, have[s]) for s in names], "source string, n long")
+    # a draw's slots are written out in chunks, which are spread over the tasks first
+    chunks = spark.createDataFrame(draws, "shard int, source string, lo long, hi long").select("shard", "source", "hi", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(CHUNK).cast("long"))).alias("lo"))
+    chunks = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source", "lo").join(F.broadcast(of), "source")
+    slots = chunks.select("shard", "source", "n", F.explode(F.sequence("lo", F.least("hi", F.col("lo") + CHUNK) - 1)).alias("slot")).withColumn("repetition", F.floor(F.col("slot") / F.col("n")).cast("int")).drop("n")
+    slots = slots.join(F.broadcast(turn), ["source", "repetition"]).select("shard", "source", "repetition", "slot", "n", "key")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot, size_of, keys = (batch.column(c).to_numpy() for c in (3, 4, 5))
+            out = np.zeros(len(slot), np.int64)
+            for key in np.unique(keys):
+                rows = keys == key
+                length = int(size_of[rows][0])
+                out[rows] = permuted(slot[rows] % length, length, int(key))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], names=["shard", "source", "repetition", "slot", "block"])
+
+    slots = slots.mapInArrow(place, "shard int, source string, repetition int, slot long, block long")
     return slots.join(parts, ["source", "block"]).select("shard", "slot", "source", "repetition", "block", "doc_id", "tok_start", "tok_end")
 
 

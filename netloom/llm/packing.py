@@ -32,17 +32,24 @@ def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
         return sizes.tolist()
     n = np.array([histogram[s] for s in sizes.tolist()], np.float64)
     cum_n, cum_t = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * sizes)])
-    # padding[i, j]: items i..j-1 in one bucket bounded by the length of item j-1
+    # padding of items i..j-1 in one bucket bounded by the length of item j-1; the best i never falls as j grows, so each
+    # round halves the range of j and looks between its neighbours' choices only
     best = np.full(m + 1, np.inf)
     best[0] = 0.0
     choice = []
     for _ in range(buckets):
         new, arg = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-        for j in range(1, m + 1):
-            i = np.arange(j)
-            cost = best[:j] + sizes[j - 1] * (cum_n[j] - cum_n[i]) - (cum_t[j] - cum_t[i])
+        todo = [(1, m, 0, m - 1)]
+        while todo:
+            lo, hi, a, z = todo.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            i = np.arange(a, min(z, j - 1) + 1)
+            cost = best[i] + sizes[j - 1] * (cum_n[j] - cum_n[i]) - (cum_t[j] - cum_t[i])
             k = int(np.argmin(cost))
-            new[j], arg[j] = cost[k], k
+            new[j], arg[j] = cost[k], a + k
+            todo += [(lo, j - 1, a, a + k), (j + 1, hi, a + k, z)]
         choice.append(arg)
         best = new
     bounds, j = [], m

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,23 @@ def test_blocks_hold_every_token_once(spark):
         per_block[r["source"], r["block"]] += r["tok_end"] - r["tok_start"]
     assert per_doc == Counter({i: t for i, s, t in rows if s and t}) and max(per_block.values()) == 64
     assert all(n == 64 for (s, b), n in per_block.items() if (s, b + 1) in per_block)
+
+
+def test_permutation_and_draws():
+    for n in (1, 2, 3, 17, 1000, 4097):
+        assert sorted(M.permuted(np.arange(n), n, 99).tolist()) == list(range(n))
+    big = M.permuted(np.arange(1000) + 10**13, 3 * 10**13, 5)  # far beyond what a product of two indices could hold
+    assert len(set(big.tolist())) == 1000 and big.min() >= 0 and big.max() < 3 * 10**13
+    rng = np.random.default_rng(1)
+    for good, bad, sample in ((5, 7, 6), (300, 40, 90), (10**12, 3 * 10**12, 10**9)):
+        got = [M.hypergeometric(good, bad, sample, rng) for _ in range(3000)]
+        p = good / (good + bad)
+        sd = (sample * p * (1 - p) * (good + bad - sample) / (good + bad - 1)) ** 0.5
+        assert max(0, sample - bad) <= min(got) and max(got) <= min(good, sample)
+        assert abs(np.mean(got) - sample * p) < 5 * sd / 3000**0.5 and 0.9 < np.std(got) / sd < 1.1
+    assert M.hypergeometric(0, 5, 3, rng) == 0 and M.hypergeometric(4, 0, 3, rng) == 3 and M.hypergeometric(4, 2, 6, rng) == 4
+
+
+def test_large_tables_keep_their_texts_where_they_are(spark):
+    df = spark.range(64, numPartitions=16).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    assert "Exchange" not in token_counts(df, parts=16)._jdf.queryExecution().executedPlan().toString()

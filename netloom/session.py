@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes (as JSON) up to which a table is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its rows, measured as JSON, stay within BROADCAST_BYTES; df is best one that cut has stored."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
 def release(df: DataFrame) -> None:
     """Delete what cut wrote for df, which nothing may read any more; loops call it for the round they have replaced."""
     plan = df._jdf.queryExecution().logical()

@@ -1,8 +1,10 @@
 """Values typed by hand mapped to a closed list (problem 2).
 
 Each distinct value is split into tokens, each distinct token is joined to the vocabulary's tokens by edit distance
-(through shared deletions, an equi-join), and soft TF-IDF over the corrected tokens ranks the entries. Entries are
-meant through their canonical value or any of their labels, or part of one.
+(through shared deletions, long ones through shared trigrams: equi-joins that lose no pair within the room for slips), and
+soft TF-IDF over the corrected tokens ranks the entries. Words run together or torn apart are one token each: a value without
+its spaces meets the phrases without theirs through shared bigrams. Entries are meant through their canonical value or
+any of their labels, or part of one.
 """
 
 from __future__ import annotations
@@ -12,14 +14,11 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.session import cut
+from netloom.session import broadcast_if_small, cut
 
 UNMATCHED = "UNMATCHED"
 #: Least score of an entry, and least similarity of a whole value without its spaces where tokens alone don't do.
 ACCEPT, ACCEPT_WHOLE = 0.5, 0.72
-#: Distinct values up to which their mapping is broadcast to the rows; beyond, it is joined by a shuffle.
-BROADCAST_VALUES = 200_000
-
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOKALIKE = ("АВЕЅІЈКМНОРСТУХавеѕіјкмнорстухΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABESIJKMHOPCTYXABESIJKMHOPCTYXABEZHIKMNOPTYX")
 
@@ -40,8 +39,8 @@ _FROM, _TO = _folds()
 
 
 def folded(c: Column) -> Column:
-    """Upper case without accents, look-alike and full-width letters; ligatures apart."""
-    c = F.translate(c, LOOKALIKE[0] + _FROM, LOOKALIKE[1] + _TO)
+    """Upper case without accents, look-alike and full-width letters; ligatures apart. Other scripts stay as they are."""
+    c = F.translate(F.upper(c), LOOKALIKE[0] + _FROM, LOOKALIKE[1] + _TO)
     for a, b in (("œ", "OE"), ("Œ", "OE"), ("æ", "AE"), ("Æ", "AE"), ("ß", "SS")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.regexp_replace(c, F.lit("\\p{M}"), F.lit(""))
@@ -49,7 +48,7 @@ def folded(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of letters and digits; letters written apart are joined, and a digit that stands for a letter is read so."""
-    t = F.filter(F.split(folded(c), "[^A-Z0-9]+"), lambda x: x != "")
+    t = F.filter(F.split(folded(c), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
     apart = (F.size(t) > 1) & F.forall(t, lambda x: F.length(x) == 1)
     t = F.when(apart, F.array(F.array_join(t, ""))).otherwise(t)
     return F.transform(t, lambda x: F.when(x.rlike("[A-Z].*[A-Z]|^[A-Z]{2}") & x.rlike("[0-9]"), F.translate(x, "015", "OIS")).otherwise(x))
@@ -66,6 +65,28 @@ def _deletions(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), F.when(F.length(c) > 1, first).otherwise(F.array().cast("array<string>")), F.when(F.length(c) > 3, second).otherwise(F.array().cast("array<string>"))))
 
 
+def _grams(df: DataFrame, col: str, q: int, pos: str) -> DataFrame:
+    """df with a row for each run of q letters of col, its text `gram` and its place."""
+    return df.where(F.length(col) >= q).select("*", F.explode(F.sequence(F.lit(1), F.length(col) - (q - 1))).alias(pos)).withColumn("gram", F.substr(F.col(col), F.col(pos), F.lit(q)))
+
+
+def alike_pairs(values: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(field_name, a, b) of values a and phrases b (field_name and the text without spaces) whose edit distance may be within 1 - ACCEPT_WHOLE of the longer.
+
+    Each of k slips spoils two bigrams at most, so of the phrase's 2 k + 1 rarest bigrams one stands in the value, no more than
+    k places off; no pair within the distance is lost.
+    """
+    slack = 1 - ACCEPT_WHOLE
+    k = F.floor(F.length("b") * (slack / ACCEPT_WHOLE) + 1e-9).cast("int")
+    grams = cut(_grams(phrases.where(F.length("b") > 3), "b", 2, "pb"))
+    rarity = grams.groupBy("field_name", "gram").agg(F.count(F.lit(1)).alias("df"))
+    distinct = grams.select("field_name", "b", "gram").distinct().join(rarity, ["field_name", "gram"])
+    rare = distinct.groupBy("field_name", "b").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g")).select("field_name", "b", F.explode(F.slice("g", F.lit(1), 2 * k + 1)).alias("g")).select("field_name", "b", "g.gram")
+    index = grams.join(rare, ["field_name", "b", "gram"])
+    near = (F.length("a") >= F.length("b") * ACCEPT_WHOLE - 1e-9) & (F.length("a") <= F.length("b") / ACCEPT_WHOLE + 1e-9) & (F.abs(F.col("pa") - F.col("pb")) <= k)
+    return _grams(values.where(F.length("a") > 1), "a", 2, "pa").join(index, ["field_name", "gram"]).where(near).select("field_name", "a", "b").distinct()
+
+
 def _weight(token: Column, idf: Column) -> Column:
     """Function words of one or two letters hardly count, digits not at all."""
     return F.when(token.rlike("^[0-9]+$"), 0.0).when(F.length(token) <= 2, 0.05 * idf).otherwise(idf)
@@ -76,7 +97,12 @@ def repairs(distinct: DataFrame, vocab: DataFrame) -> DataFrame:
     key = lambda df, c: df.select("*", F.explode(_deletions(F.col(c))).alias("k"))
     # a token longer than the longest reference token by more than the room for slips is none of them
     longest = (vocab.agg(F.max(F.length("ref"))).first()[0] or 0) + 3
-    near = key(distinct.where(F.length("token") <= longest), "token").join(key(vocab, "ref"), ["field_name", "k"]).select("field_name", "token", "ref").distinct()
+    # up to twelve letters: two slips, found through a string that both become by leaving two letters out
+    near = key(distinct.where(F.length("token") <= F.least(F.lit(longest), F.lit(14))), "token").join(key(vocab.where(F.length("ref") <= 14), "ref"), ["field_name", "k"]).select("field_name", "token", "ref")
+    # beyond: three slips spoil nine of eleven trigrams at most, so one is left at nearly its place
+    ta, tb = _grams(distinct.where(F.length("token").between(10, longest)), "token", 3, "pa"), _grams(vocab.where(F.length("ref") >= 10), "ref", 3, "pb")
+    far = ta.join(tb, ["field_name", "gram"]).where((F.abs(F.length("token") - F.length("ref")) <= 3) & (F.abs(F.col("pa") - F.col("pb")) <= 3)).select("field_name", "token", "ref")
+    near = near.unionByName(far).distinct()
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     d = F.levenshtein("token", "ref").cast("double")
     # two letters that changed places are one slip
@@ -112,9 +138,13 @@ def map_values(values: DataFrame, vocabulary: DataFrame, phrase_cols: list[str])
     soft = hit.groupBy("field_name", "value", "canon_value", "phrase").agg(F.sum(F.pow("m.w", F.lit(2)) * F.col("m.sim")).alias("dot"), F.max(F.when(F.length("ref") > 2, F.col("m.sim"))).alias("lead"))
     soft = soft.join(mass, ["field_name", "value"]).join(pmass, ["field_name", "canon_value", "phrase"])
     # cosine against what the value has, and half as much against the whole phrase: a part of it may be meant
-    soft = soft.select("field_name", "value", "canon_value", "phrase", "lead", (F.col("dot") / F.greatest("mass", F.lit(1e-9))).alias("of_value"), (F.col("dot") / F.sqrt(F.col("mass") * F.col("pmass") + 1e-12)).alias("cosine"))
-    # a whole value without its spaces against the few phrases of its field, for words run together or torn apart
-    whole = v.select("field_name", "value", F.array_join("tok", "").alias("a")).join(F.broadcast(phrases.select("field_name", "canon_value", "phrase", F.array_join("ptok", "").alias("b"))), "field_name")
+    soft = cut(soft.select("field_name", "value", "canon_value", "phrase", "lead", (F.col("dot") / F.greatest("mass", F.lit(1e-9))).alias("of_value"), (F.col("dot") / F.sqrt(F.col("mass") * F.col("pmass") + 1e-12)).alias("cosine")))
+    # words run together or torn apart: the value and the phrase as one token each
+    va = v.select("field_name", "value", F.array_join("tok", "").alias("a"))
+    pb = cut(phrases.select("field_name", "canon_value", "phrase", F.array_join("ptok", "").alias("b")))
+    joined = alike_pairs(va.select("field_name", "a").distinct(), pb.select("field_name", "b").distinct()).join(va, ["field_name", "a"]).join(pb, ["field_name", "b"]).select("field_name", "value", "canon_value", "phrase")
+    pairs = joined.unionByName(soft.select("field_name", "value", "canon_value", "phrase")).distinct()
+    whole = pairs.join(va, ["field_name", "value"]).join(pb, ["field_name", "canon_value", "phrase"])
     whole = whole.select("field_name", "value", "canon_value", "phrase", F.when(F.length("a") > 2 * F.length("b") + 8, 0.0).otherwise(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1))).alias("alike"), (F.length("b") > 3).alias("long"))
     ranked = whole.join(soft, ["field_name", "value", "canon_value", "phrase"], "left")
     score = F.greatest(F.when(F.col("lead") >= 0.6, 0.6 * F.least(F.col("of_value"), F.lit(1.0)) + 0.4 * F.least(F.col("cosine"), F.lit(1.0))), F.when(F.col("long") & (F.col("alike") >= ACCEPT_WHOLE), F.col("alike")), F.lit(0.0))
@@ -130,8 +160,6 @@ def map_rows(rows: DataFrame, vocabulary: DataFrame, phrase_cols: list[str]) ->
     of all rows share is one distinct value; the rows themselves are only shuffled where the mapping is large.
     """
     exact = vocabulary.select("field_name", F.col("canon_value").alias("value")).distinct()
-    typed = rows.where("value IS NOT NULL AND trim(value) <> ''").join(F.broadcast(exact), ["field_name", "value"], "left_anti")
+    typed = rows.where("value IS NOT NULL AND trim(value) <> ''").join(broadcast_if_small(exact), ["field_name", "value"], "left_anti")
     mapping = cut(map_values(typed, vocabulary, phrase_cols).select("field_name", "value", "canon_value"))
-    if mapping.count() <= BROADCAST_VALUES:
-        mapping = F.broadcast(mapping)
-    return typed.join(mapping, ["field_name", "value"]).select("field_name", "id", "value", "canon_value")
+    return typed.join(broadcast_if_small(mapping), ["field_name", "value"]).select("field_name", "id", "value", "canon_value")

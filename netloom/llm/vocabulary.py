@@ -123,12 +123,13 @@ def map_values(values: DataFrame, vocabulary: DataFrame, phrase_cols: list[str])
     without entries gives UNMATCHED. Ties go to the entry with the more alike whole, then to the first by name.
     """
     v = cut(values.select("field_name", "value").distinct().withColumn("tok", tokens(F.col("value"))))
-    phrases = vocabulary.select("field_name", "canon_value", F.explode(F.array_distinct(F.array(*phrase_cols))).alias("phrase")).where("phrase IS NOT NULL").withColumn("ptok", tokens(F.col("phrase")))
+    # what is used several times is stored: the list's side and the repairs are small, and the plans stay short
+    phrases = cut(vocabulary.select("field_name", "canon_value", F.explode(F.array_distinct(F.array(*phrase_cols))).alias("phrase")).where("phrase IS NOT NULL").withColumn("ptok", tokens(F.col("phrase"))))
     ptok = phrases.select("field_name", "canon_value", "phrase", F.explode(F.array_distinct("ptok")).alias("ref"))
     n = phrases.groupBy("field_name").agg(F.countDistinct("canon_value").alias("n"))
-    idf = ptok.groupBy("field_name", "ref").agg(F.countDistinct("canon_value").alias("df")).join(n, "field_name").select("field_name", "ref", _weight(F.col("ref"), F.log(1 + F.col("n") / F.col("df"))).alias("w"), F.log(1 + F.col("n")).alias("w_max"))
+    idf = cut(ptok.groupBy("field_name", "ref").agg(F.countDistinct("canon_value").alias("df")).join(n, "field_name").select("field_name", "ref", _weight(F.col("ref"), F.log(1 + F.col("n") / F.col("df"))).alias("w"), F.log(1 + F.col("n")).alias("w_max")))
     vt = v.select("field_name", "value", F.explode(F.array_distinct("tok")).alias("token"))
-    rep = repairs(vt.select("field_name", "token").distinct(), ptok.select("field_name", "ref").distinct()).join(idf, ["field_name", "ref"])
+    rep = cut(repairs(vt.select("field_name", "token").distinct(), idf.select("field_name", "ref")).join(idf, ["field_name", "ref"]))
     # what a value weighs: its tokens' likeliest reading, or half of a rare word's weight if there is none
     best = rep.groupBy("field_name", "token").agg(F.max_by("w", "sim").alias("w"))
     top = idf.groupBy("field_name").agg(F.max("w_max").alias("w_max"))
@@ -141,8 +142,8 @@ def map_values(values: DataFrame, vocabulary: DataFrame, phrase_cols: list[str])
     soft = cut(soft.select("field_name", "value", "canon_value", "phrase", "lead", (F.col("dot") / F.greatest("mass", F.lit(1e-9))).alias("of_value"), (F.col("dot") / F.sqrt(F.col("mass") * F.col("pmass") + 1e-12)).alias("cosine")))
     # words run together or torn apart: the value and the phrase as one token each
     va = v.select("field_name", "value", F.array_join("tok", "").alias("a"))
-    pb = cut(phrases.select("field_name", "canon_value", "phrase", F.array_join("ptok", "").alias("b")))
-    joined = alike_pairs(va.select("field_name", "a").distinct(), pb.select("field_name", "b").distinct()).join(va, ["field_name", "a"]).join(pb, ["field_name", "b"]).select("field_name", "value", "canon_value", "phrase")
+    pb = phrases.select("field_name", "canon_value", "phrase", F.array_join("ptok", "").alias("b"))
+    joined = cut(alike_pairs(va.select("field_name", "a").distinct(), pb.select("field_name", "b").distinct())).join(va, ["field_name", "a"]).join(pb, ["field_name", "b"]).select("field_name", "value", "canon_value", "phrase")
     pairs = joined.unionByName(soft.select("field_name", "value", "canon_value", "phrase")).distinct()
     whole = pairs.join(va, ["field_name", "value"]).join(pb, ["field_name", "canon_value", "phrase"])
     whole = whole.select("field_name", "value", "canon_value", "phrase", F.when(F.length("a") > 2 * F.length("b") + 8, 0.0).otherwise(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1))).alias("alike"), (F.length("b") > 3).alias("long"))

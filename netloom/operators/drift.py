@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netloom.session import cut
+from netloom.session import broadcast_if_small, cut, release
 
 #: Between the names on the path to a nested field.
 SEP = "\u001f"
@@ -26,8 +26,6 @@ SEP = "\u001f"
 RENAME, REFUTED, INDEL, RETYPE = 0.5, 10.0, 1.0, 0.75
 #: Share of the records in both files in which the values must agree for a rename.
 AGREE = 0.8
-#: File rows up to which they are broadcast to the lines (some 20 MB); beyond, lines and files are joined by a shuffle.
-BROADCAST_FILES = 100_000
 
 
 def _no_constant(token: str) -> float:
@@ -51,6 +49,34 @@ def leaves(value: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
             yield from leaves(v, prefix + k + SEP)
 
 
+class _Number(float):
+    """A number that keeps how it was written."""
+
+    raw = ""
+
+
+def _as_written(text: str) -> _Number:
+    n = _Number(text)
+    n.raw = text
+    return n
+
+
+def field_texts(text: str | None) -> dict[str, str | None] | None:
+    """The values of a line's fields as texts, nested ones under their path, or None if it isn't one whole JSON object."""
+    try:
+        value = json.loads(text, parse_constant=_no_constant, parse_float=_as_written) if text else None
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(value, dict):
+        return None
+    out: dict[str, str | None] = {}
+    for path, v in leaves(value):
+        if isinstance(v, dict) and v:
+            continue  # its fields stand for it
+        out[path] = v if v is None or isinstance(v, str) else v.raw if isinstance(v, _Number) else json.dumps(v, ensure_ascii=False)
+    return out
+
+
 _KINDS = {bool: "bool", int: "int", float: "double", str: "string", dict: "object", list: "array"}
 
 
@@ -277,9 +303,7 @@ def drift_events(raw: DataFrame, key_pattern: str) -> DataFrame:
     wanted = differ.select(F.col("prev_id").alias("file_id"), F.col("file_id").alias("pair_id"), F.lit("p").alias("role"), F.col("gone").alias("paths"), F.col("was_key").alias("key_path")).unionByName(
         differ.select("file_id", F.col("file_id").alias("pair_id"), F.lit("c").alias("role"), F.col("new").alias("paths"), F.col("now_key").alias("key_path"))
     )
-    if differ.count() <= BROADCAST_FILES // 2:
-        wanted = F.broadcast(wanted)
-    agreed = evidence(raw, wanted).groupBy(F.col("pair_id").alias("file_id")).agg(F.collect_list(F.struct("gone", "new", "both", "same")).alias("ev"))
+    agreed = evidence(raw, broadcast_if_small(wanted)).groupBy(F.col("pair_id").alias("file_id")).agg(F.collect_list(F.struct("gone", "new", "both", "same")).alias("ev"))
     return both.join(agreed, "file_id", "left").select("file_id", "was", "now", "ev").mapInArrow(_scripts, "file_id long, field_path string, drift_kind string, prev_path string")
 
 
@@ -301,8 +325,11 @@ def lineages(raw: DataFrame, events: DataFrame, standard: list[str]) -> DataFram
     old = starts.select("series", F.col("path").alias("prev"), F.col("seq").alias("oseq"), F.col("seg").alias("oseg"))
     up = starts.where("prev IS NOT NULL").join(old, ["series", "prev"]).where("oseq < seq").groupBy("seg").agg(F.max_by("oseg", "oseq").alias("up"))
     root = cut(starts.select("seg").join(up, "seg", "left").select("seg", F.coalesce("up", "seg").alias("root")))
+    hop = None
     while True:
-        hop = cut(root.join(root.select(F.col("seg").alias("root"), F.col("root").alias("far")), "root").select("seg", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+        old, hop = hop, cut(root.join(root.select(F.col("seg").alias("root"), F.col("root").alias("far")), "root").select("seg", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+        if old is not None:
+            release(old)
         root = hop.select("seg", "root")
         if hop.where("moved").isEmpty():
             break
@@ -342,8 +369,9 @@ def places(fields: list[tuple[str, str, int]], columns: set[str]) -> tuple[dict[
 def consistent_table(raw: DataFrame, names: DataFrame, columns: dict[str, str]) -> DataFrame:
     """raw_id, series, file_id, line_no, the columns (canonical name -> type) and `more`, a map of what else a line holds.
 
-    Lines that aren't whole objects are left out. Values that don't fit a column's type are NULL there (decimal commas
-    are read). Of several fields of one file that lead to one name the best rank has it (see lineages), the others stand
+    Lines that aren't whole objects are left out; of a key that a line repeats the last value counts, as for the events. A
+    nested field stands under its path, an array as its text. Values that don't fit a column's type are NULL there
+    (decimal commas are read). Of several fields of one file that lead to one name the best rank has it (see lineages), the others stand
     in `more` under their own names, also where such a name is a column's.
     """
     wanted = set(columns)
@@ -354,12 +382,19 @@ def consistent_table(raw: DataFrame, names: DataFrame, columns: dict[str, str])
             maps = [pa.array([list(g[k].items()) for g in got], pa.map_(pa.string(), pa.string())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *maps], names=["file_id", "__at", "__else"])
 
-    per_file = names.where(~F.contains("path", F.lit(SEP))).groupBy("file_id").agg(F.collect_set(F.struct("path", "canon", "rank")).alias("fields"))
+    per_file = names.groupBy("file_id").agg(F.collect_set(F.struct("path", "canon", "rank")).alias("fields"))
     per_file = cut(per_file.mapInArrow(place, "file_id long, __at map<string,string>, __else map<string,string>"))
-    if per_file.count() <= BROADCAST_FILES:
-        per_file = F.broadcast(per_file)
-    rows = raw.select("raw_id", "series", "file_id", "line_no", "record").where(F.try_parse_json("record").isNotNull() & F.ltrim("record").startswith("{"))
-    m = rows.join(per_file, "file_id", "left").withColumn("__m", F.from_json("record", "map<string,string>"))
+    rows = raw.select("raw_id", "series", "file_id", "line_no", "record").join(broadcast_if_small(per_file), "file_id", "left")
+    heads = [f for f in rows.schema.fields if f.name in ("raw_id", "series", "file_id", "line_no", "__at", "__else")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [field_texts(t) for t in batch.column(0).to_pylist()]
+            whole = pa.array([g is not None for g in got])
+            kept = pa.array([list(g.items()) for g in got if g is not None], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).filter(whole) for i in range(len(heads))), kept], names=[*(f.name for f in heads), "__m"])
+
+    m = rows.select("record", *[f.name for f in heads]).mapInArrow(read, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in heads), "__m map<string,string>"]))
     rest = F.filter(F.transform(F.map_entries("__m"), lambda e: F.struct(F.try_element_at(F.col("__else"), e["key"]).alias("key"), e["value"].alias("value"))), lambda e: e["key"].isNotNull())
 
     def typed(name: str, kind: str):

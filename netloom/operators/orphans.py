@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netloom.session import broadcast_if_small
+
 BITS_PER_KEY = 16
-#: Words of the filter at most (16 bytes each when broadcast: 32 MB). Beyond, the filter is denser and lets more
-#: references through to the exact join; results do not change.
-MAX_WORDS = 1 << 21
-#: Presence intervals up to which the exact join broadcasts them; beyond, it shuffles and AQE splits hot keys.
-BROADCAST_INTERVALS = 200_000
+#: Words of the filter up to which it is broadcast (16 bytes each: 32 MB, some eight million keys). A larger one is joined on
+#: the word by a shuffle, so it is never denser.
+BROADCAST_WORDS = 1 << 21
 
 
 def _word(key: Column, words: int) -> Column:
@@ -32,7 +32,7 @@ def _mask(key: Column) -> Column:
 
 def bloom_words(parents: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int]:
     """(word, bits) of the parents' keys, aggregated map-side first, and the number of words."""
-    words = max(16, min(MAX_WORDS, -(-n_keys * BITS_PER_KEY // 64)))
+    words = max(16, -(-n_keys * BITS_PER_KEY // 64))
     return parents.select(_word(F.col(key), words).alias("__word"), _mask(F.col(key)).alias("__m")).groupBy("__word").agg(F.bit_or("__m").alias("__bits")), words
 
 
@@ -54,17 +54,23 @@ def classify_references(refs: DataFrame, key: Column, at: Column, intervals: Dat
     """`refs` with `ref_state`: 'none' (null or blank key), 'never' (the filter proves it), 'absent' or 'present'.
 
     refs may hold any columns but those beginning with `__`; its rows are all kept. A row with a key but without a
-    time is 'absent' unless the filter already says 'never'. Empty parents make every key 'never'.
+    time is 'absent' unless the filter already says 'never'. Empty parents make every key 'never'. intervals are read
+    several times; give stored ones (see cut). Where they are too many to be broadcast, only the filter-positive
+    references cross the network, on their key, and AQE splits hot keys.
     """
     n = intervals.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("p_key").alias("keys")).first()
     keyed = refs.withColumns({"__key": key, "__at": at.cast("timestamp")})
     words, n_words = bloom_words(intervals, "p_key", int(n["keys"]))
-    # a hot reference key meets one word of a broadcast relation of at most MAX_WORDS rows: no shuffle, no skew
-    keyed = keyed.withColumn("__word", _word(F.col("__key"), n_words)).join(F.broadcast(words), "__word", "left").withColumn("__maybe", F.col("__key").isNotNull() & F.col("__bits").isNotNull() & (F.col("__bits").bitwiseAND(_mask(F.col("__key"))) == _mask(F.col("__key")))).drop("__word", "__bits")
+    # a hot reference key meets one word of a broadcast relation of bounded size: no shuffle, no skew
+    words = F.broadcast(words) if n_words <= BROADCAST_WORDS else words
+    keyed = keyed.withColumn("__word", _word(F.col("__key"), n_words)).join(words, "__word", "left").withColumn("__maybe", F.col("__key").isNotNull() & F.col("__bits").isNotNull() & (F.col("__bits").bitwiseAND(_mask(F.col("__key"))) == _mask(F.col("__key")))).drop("__word", "__bits")
     exact = intervals.select(F.col("p_key").alias("__pk"), F.col("p_from").alias("__pf"), F.col("p_to").alias("__pt"))
-    if n["rows"] <= BROADCAST_INTERVALS:
-        exact = F.broadcast(exact)
+    small = broadcast_if_small(exact)
+    during = (F.col("__at") >= F.col("__pf")) & (F.col("__at") < F.col("__pt"))
     # intervals of one key are disjoint, so a reference meets at most one of them and the left join keeps the row count
-    held = keyed.join(exact, (F.when(F.col("__maybe"), F.col("__key")) == F.col("__pk")) & (F.col("__at") >= F.col("__pf")) & (F.col("__at") < F.col("__pt")), "left")
+    if small is not exact:
+        held = keyed.join(small, (F.when(F.col("__maybe"), F.col("__key")) == F.col("__pk")) & during, "left")
+    else:
+        held = keyed.where("__maybe").join(exact, (F.col("__key") == F.col("__pk")) & during, "left").unionByName(keyed.where("NOT __maybe"), allowMissingColumns=True)
     state = F.when(F.col("__key").isNull(), "none").when(~F.col("__maybe"), "never").when(F.col("__pk").isNull(), "absent").otherwise("present")
     return held.withColumn("ref_state", state).drop("__key", "__at", "__maybe", "__pk", "__pf", "__pt")

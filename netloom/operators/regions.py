@@ -15,14 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators.spatial import finite
-from netloom.session import cut
+from netloom.session import broadcast_if_small, cut
 
 #: Bits of a centroid's Morton code for each axis.
 DEPTH = 16
 #: Triangles a lowest node should hold about.
 LEAF = 16
-#: Nodes or triangles up to which a level is broadcast (some 20 MB); beyond, the level is joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def _orient(a: tuple, b: tuple, c: tuple) -> float:
@@ -172,11 +170,7 @@ def containing_regions(points: DataFrame, point_id: str, x: str, y: str, regions
     found = found.select("point_id", "px", "py", F.explode(roots).alias("at"))
     for level in range(2, levels + 1):
         below = boxes(level).withColumn("at", F.shiftright("node", 4))
-        if min(16**level, s["n"]) <= BROADCAST_ROWS:
-            below = F.broadcast(below)
-        found = found.join(below, "at").where(inside).select("point_id", "px", "py", F.col("node").alias("at"))
-    leaves = coded.withColumn("at", node(levels)).drop("m")
-    if s["n"] <= BROADCAST_ROWS:
-        leaves = F.broadcast(leaves)
+        found = found.join(broadcast_if_small(below), "at").where(inside).select("point_id", "px", "py", F.col("node").alias("at"))
+    leaves = broadcast_if_small(coded.withColumn("at", node(levels)).drop("m"))
     exact = F.when(F.col("ring").isNull(), in_triangle(px, py)).otherwise(in_ring(px, py, F.col("ring")))
     return found.join(leaves, "at").where(inside & exact).select("point_id", "region_id").distinct()

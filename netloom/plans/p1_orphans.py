@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.keys import ref_key
 from netloom.operators.orphans import classify_references, presence
-from netloom.session import table
+from netloom.session import cut, table
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
     """(src_table, ref_field, load_month, fid, ref_state) of every row of the three reference fields."""
-    site, znro = table(spark, d, "site"), table(spark, d, "znro")
-    pm = presence(site.where("type = 'PM'"), ref_key("code"), F.col("loaded_at"), F.col("deleted_at"))
-    nro = presence(znro, ref_key("ref_nro"), F.col("loaded_at"), F.col("deleted_at"))
-    parts = []
-    for src, field, parents in (("boite", "ref_pm", pm), ("zpm", "ref_sro", pm), ("zpm", "ref_nro", nro)):
-        rows = table(spark, d, src).select("fid", "loaded_at", field)
-        parts.append(classify_references(rows, ref_key(field), F.col("loaded_at"), parents).select(F.lit(src).alias("src_table"), F.lit(field).alias("ref_field"), F.date_format("loaded_at", "yyyy-MM").alias("load_month"), "fid", "ref_state"))
-    return reduce(DataFrame.unionByName, parts)
+    # the two kinds of target share one filter and one join, told apart by the key's first part
+    kind = lambda name, c: F.concat(F.lit(f"{name}:"), ref_key(c))
+    site = table(spark, d, "site").where("type = 'PM'").select(kind("pm", "code").alias("k"), "loaded_at", "deleted_at")
+    znro = table(spark, d, "znro").select(kind("nro", "ref_nro").alias("k"), "loaded_at", "deleted_at")
+    parents = cut(presence(site.unionByName(znro), F.col("k"), F.col("loaded_at"), F.col("deleted_at")))
+    refs = []
+    for src, fields in (("boite", {"ref_pm": "pm"}), ("zpm", {"ref_sro": "pm", "ref_nro": "nro"})):
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("ref_field"), kind(k, f).alias("k")) for f, k in fields.items()]))
+        refs.append(table(spark, d, src).select(F.lit(src).alias("src_table"), "fid", "loaded_at", each.alias("r")).select("src_table", "r.ref_field", "fid", "loaded_at", "r.k"))
+    state = classify_references(refs[0].unionByName(refs[1]), F.col("k"), F.col("loaded_at"), parents)
+    return state.select("src_table", "ref_field", F.date_format("loaded_at", "yyyy-MM").alias("load_month"), "fid", "ref_state")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -23,7 +23,9 @@ def _dotted(c: str) -> Column:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where("drift_kind <> 'moved'").select("file_id", _dotted("field_path").alias("field_name"), "drift_kind", _dotted("prev_path").alias("prev_name"))
+    """The events of every file; a nested field that moved below another parent has a new name for the same values."""
+    kind = F.when(F.col("drift_kind") == "moved", "renamed").otherwise(F.col("drift_kind"))
+    return events(spark, d).select("file_id", _dotted("field_path").alias("field_name"), kind.alias("drift_kind"), _dotted("prev_path").alias("prev_name"))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:

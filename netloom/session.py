@@ -32,13 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Bytes (as JSON) up to which a table is broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 10 << 20
 
 
-def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if its rows, measured as JSON, stay within BROADCAST_BYTES; df is best one that cut has stored."""
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
-    return F.broadcast(df) if size <= (BROADCAST_BYTES if limit is None else limit) else df
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def release(df: DataFrame) -> None:

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+from netloom import session
 from netloom.operators import drift as D
 from netloom.plans.p5_drift import BOX_CODE
 
@@ -46,7 +47,7 @@ def test_moves_and_assignment():
 
 def test_empty_and_shuffled_path(spark, monkeypatch):
     assert D.drift_events(spark.createDataFrame([], SCHEMA), BOX_CODE).count() == 0
-    monkeypatch.setattr(D, "BROADCAST_FILES", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
     raw = spark.createDataFrame(lines([("s", 1, 1, boxes(A=1)), ("s", 2, 2, boxes(B=1))]), SCHEMA)
     assert [tuple(r) for r in D.drift_events(raw, BOX_CODE).collect()] == [(2, "B", "renamed", "A")]
 
@@ -78,3 +79,12 @@ def test_places():
     # X loses CODE and stands in `more`, so q can have the column X; b loses to a's own name, so c can't have b's
     fields = [("CODE", "CODE", 0), ("X", "CODE", 1), ("q", "X", 2), ("a", "a", 0), ("b", "a", 3), ("c", "b", 3)]
     assert D.places(fields, {"CODE", "X"}) == ({"CODE": "CODE", "X": "q"}, {"X": "X", "a": "a", "b": "b", "c": "c"})
+
+
+def test_repeated_keys_and_nested_fields_stay(spark):
+    files = [("s", 1, 1, ['{"CODE": "PBO-ABC-1", "X": 1, "X": 2.50, "a": {"k": "v", "n": null}, "l": [1, 2.5]}', '{"CODE": "PBO-ABC-2"', "[1]", "null"])]
+    raw = spark.createDataFrame(lines(files), SCHEMA)
+    names = D.lineages(raw, D.drift_events(raw, BOX_CODE), ["CODE", "X"])
+    (r,) = D.consistent_table(raw, names, {"CODE": "string", "X": "double"}).collect()
+    assert (r["code"], r["x"]) == ("PBO-ABC-1", 2.5) and r["more"] == {f"a{D.SEP}k": "v", f"a{D.SEP}n": None, "l": "[1, 2.5]"}
+    assert D.field_texts('{"X": 12.50, "Y": true, "Z": 7, "E": {}}') == {"X": "12.50", "Y": "true", "Z": "7", "E": "{}"}

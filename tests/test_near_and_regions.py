@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from netloom import session
 from netloom.operators import regions as R
 from netloom.operators.spatial import near_pairs
 
@@ -51,9 +52,9 @@ def inside(x, y, ring):
     return odd
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
+@pytest.mark.parametrize("bound", [10 << 20, -1])
 def test_containing_regions_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(R, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", bound)
     random.seed(8)
     rings = []
     for _ in range(60):

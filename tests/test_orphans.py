@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from netloom.functions.keys import ref_key
+from netloom import session
 from netloom.operators import orphans as O
 
 T = lambda day: datetime(2024, 1, day)
@@ -37,7 +38,7 @@ def test_shuffled_path_and_hot_key_match_brute_force(spark, monkeypatch):
     refs = [(i, "K0" if i % 3 == 0 else f"K{random.randrange(60)}", T(random.randrange(1, 28)), None) for i in range(900)]
     here = lambda k, at: any(p[0] == k and p[1] <= at and (p[2] is None or at < p[2]) for p in parents)
     want = {i: here(k, at) for i, k, at, _ in refs}
-    for bound in (O.BROADCAST_INTERVALS, 0):
-        monkeypatch.setattr(O, "BROADCAST_INTERVALS", bound)
-        monkeypatch.setattr(O, "MAX_WORDS", 16 if bound == 0 else 1 << 21)  # a filter far too dense still gives exact results
+    for bound in (session.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(session, "BROADCAST_BYTES", bound)
+        monkeypatch.setattr(O, "BROADCAST_WORDS", bound)  # the filter joined by a shuffle too
         assert {k: v == "present" for k, v in states(spark, refs, parents).items()} == want

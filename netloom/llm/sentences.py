@@ -35,6 +35,8 @@ MAYBE = "ft min hr hrs lbs oz etc usw dsb dst dll al Inc Ltd Co Corp Bros Jr д
 ORDINAL = "am Am im Im der Der die Die das Das den Den dem Dem des zum Zum zur Zur vom Vom beim Beim bis seit ab Ab jeder jede".split()
 #: Words before a lone letter that is a name, no initial.
 LETTERED = "Annexe Anhang Anexo Appendix annexe appendix plan Plan Option option type Type zone Zone".split()
+#: Full stops of scripts that write other marks: Devanagari, Arabic, Armenian, Ethiopic, Khmer, Burmese, Tibetan, Tifinagh, Mongolian, Javanese and others (fixed values).
+STOPS = "।॥؟۔։።፧፨។៕။༎།᙮᠃᠉᥄᥅᪨᭞꛳꡶꣎꧈꩝꯫"
 #: Particles that close a Thai sentence before a space.
 THAI = "ครับ ค่ะ คะ จ้ะ จ๊ะ".split()
 
@@ -107,7 +109,7 @@ URLS = [
 _GOES_ON = f"[,;:)\\]»”]|[–—-]{_W}|(?<=[\"”“’'»›…]{_W}{{1,2}}|\\.\\.{_W}{{1,2}})\\p{{Ll}}"
 #: Where a sentence may end: single characters are looked at first, the dearer look-behinds only where they fit.
 SPLIT = (
-    f"(?<=[{_TERM}{_CLOSE}。！？｡।॥؟۔{''.join(sorted({w[-1] for w in THAI}))}])(?:"
+    f"(?<=[{_TERM}{_CLOSE}。！？｡{STOPS}{''.join(sorted({w[-1] for w in THAI}))}])(?:"
     # Latin, Cyrillic and other scripts with spaces
     f"(?![{_CLOSE}{_TERM}]|{_W}[»{_TERM}])(?:(?={_W}+(?!{_GOES_ON})\\S)(?<=[{_TERM}](?:{_W}?»)?[{_CLOSE}]{{0,3}})"
     # the space left out
@@ -115,8 +117,8 @@ SPLIT = (
     "|(?=\\p{Lu}|`)(?<=[\\p{Ll}\\p{M})\\]»”`][!?]))"
     # Chinese and Japanese; a closing quotation mark goes on unless white space follows
     "|(?![。！？｡…）)】」』”’\"»])(?:(?<=[。！？｡][）)】]{0,2})(?=\\s*\\S)|(?=\\s+\\S)(?<=[。！？｡][）)】]{0,2}[」』”’\"]{1,2}[）)]{0,2}))"
-    # Devanagari, Arabic
-    f"|(?![{_CLOSE}।॥؟۔!?])(?<=[।॥؟۔][{_CLOSE}]{{0,3}})(?=\\s*\\S)"
+    # Devanagari, Arabic and others
+    f"|(?![{_CLOSE}{STOPS}!?])(?<=[{STOPS}][{_CLOSE}]{{0,3}})(?=\\s*\\S)"
     # Thai has no mark; a particle before a space closes the sentence
     f"|(?=[ \\t\u00a0\\n]+\\S)(?<={_alt(THAI)}))"
 )

@@ -49,3 +49,13 @@ def test_very_long(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert sentences(df).count() == 20_000
     assert sentences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_full_stops_of_other_scripts(spark):
+    texts = ["ဒါက ပထမ။ ဒါက ဒုတိယ။", "ይህ አንድ ነው። ይህ ሁለት ነው።", "Սա առաջինն է։ Սա երկրորդն է։", "នេះគឺមួយ។ នេះគឺពីរ។", "འདི་གཅིག་རེད། འདི་གཉིས་རེད།", "ⴰⵣⵓⵍ᙮ ⴰⵣⵓⵍ᙮"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sentences(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["start_pos"], r["sentence"]))
+    for i, t in enumerate(texts):
+        assert len(got[i]) == 2 and all(t[at : at + len(s)] == s for at, s in got[i])

@@ -55,7 +55,8 @@ BLOCKS = (
     "|(?s:(?<![^\\n])[ ]{0,3}~~~.*?(?:\\n[ ]{0,3}~~~[ \\t]*(?=\\n|\\z)|\\z))"
     "|(?s:(?:(?<=\\n[ \\t\\r]{0,9}\\n)|\\A)(?:[ ]{4}|\\t)[ \\t]*\\S.*?(?=\\n(?![ ]{4}|\\t|[ \\t\\r]*\\n)|\\z))"
     "|(?<![^\\n])[ \\t\\r]*\\n|\\n"
-    "|(?s:.+?)(?=\\n[ \\t\\r]*\\n|\\n[ ]{0,3}(?:```|~~~)|\\z)"
+    # a paragraph, line by line (possessive, so that it takes no stack)
+    "|[^\\n]++(?:\\n(?![ \\t\\r]*\\n|[ ]{0,3}(?:```|~~~))[^\\n]*+)*+"
 )
 #: Blocks that hold no prose.
 CODE = "^(?:[ ]{0,3}(?:```|~~~)|[ ]{4}|\\t|[ \\t\\r]*\\n?\\z)"
@@ -109,7 +110,8 @@ URLS = [
 _GOES_ON = f"[,;:)\\]»”]|[–—-]{_W}|(?<=[\"”“’'»›…]{_W}{{1,2}}|\\.\\.{_W}{{1,2}})\\p{{Ll}}"
 #: Where a sentence may end: single characters are looked at first, the dearer look-behinds only where they fit.
 SPLIT = (
-    f"(?<=[{_TERM}{_CLOSE}。！？｡{STOPS}{''.join(sorted({w[-1] for w in THAI}))}])(?:"
+    # letters, digits and spaces of Latin script, most of a text, are told by one table look-up
+    f"(?<![a-zA-Z0-9 ])(?<=[{_TERM}{_CLOSE}。！？｡{STOPS}{''.join(sorted({w[-1] for w in THAI}))}])(?:"
     # Latin, Cyrillic and other scripts with spaces
     f"(?![{_CLOSE}{_TERM}]|{_W}[»{_TERM}])(?:(?={_W}+(?!{_GOES_ON})\\S)(?<=[{_TERM}](?:{_W}?»)?[{_CLOSE}]{{0,3}})"
     # the space left out

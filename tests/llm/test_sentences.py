@@ -59,3 +59,9 @@ def test_full_stops_of_other_scripts(spark):
         got.setdefault(r["doc_id"], []).append((r["start_pos"], r["sentence"]))
     for i, t in enumerate(texts):
         assert len(got[i]) == 2 and all(t[at : at + len(s)] == s for at, s in got[i])
+
+
+def test_a_paragraph_of_very_many_lines(spark):
+    text = "One line goes on\nhere. " * 20_000
+    got = sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(got) == 20_000 and {r["sentence"] for r in got} == {"One line goes on\nhere."}

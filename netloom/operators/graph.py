@@ -66,12 +66,12 @@ def nearest_seed(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     while True:
         reach = front.join(both, front["id"] == both["x"]).select(F.col("y").alias("id"), F.struct((F.col("b.dist") + F.col("w")).alias("dist"), F.col("b.seed").alias("seed")).alias("n")).groupBy("id").agg(F.min("n").alias("n"))
         old, joined = joined, cut(best.join(reach, "id", "full_outer").select("id", "b", "n", (F.col("n").isNotNull() & (F.col("b").isNull() | (F.col("n") < F.col("b")))).alias("better")))
-        if old is not None:
-            release(old)
+        best = joined.select("id", F.when(F.col("better"), F.col("n")).otherwise(F.col("b")).alias("b"))
         front = joined.where("better").select("id", F.col("n").alias("b"))
+        if old is not None:  # nothing reads the round before any more
+            release(old)
         if front.isEmpty():
             return best.select("id", "b.seed", "b.dist")
-        best = joined.select("id", F.when(F.col("better"), F.col("n")).otherwise(F.col("b")).alias("b"))
 
 
 def tag_edges(edges: DataFrame, domains: DataFrame) -> DataFrame:

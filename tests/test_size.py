@@ -36,3 +36,18 @@ def test_endpoint_repair_stores_spots_not_ends(spark):
     near = {k: min(((x - a) ** 2 + (y - b) ** 2) ** 0.5 for a, b in node) for k, (x, y) in enumerate(site)}
     assert all(abs(r["d"] - near[r["line_id"] % 20]) < 1e-9 for r in rows if r["end"] == 0)
     assert size < 200_000
+
+
+def test_split_lines_keeps_lines_where_they_are(spark, monkeypatch):
+    random.seed(2)
+    node = [(random.uniform(0, 60), random.uniform(0, 60)) for _ in range(60)]
+    shape = lambda i: [node[i % 60]] if i % 17 == 0 else [(random.uniform(0, 60), random.uniform(0, 60)) for _ in range(2 + i % 3)] if i % 5 else [node[i % 60]] * 2
+    rows = [(i, [{"x": x, "y": y} for x, y in shape(i)], "c") for i in range(300)] + [(300, [], "c"), (301, None, "c")]
+    lines, nodes = spark.createDataFrame(rows, LINE), spark.createDataFrame(node, "x double, y double")
+    want = {(i, k): p for i, pts, _ in rows for k, p in enumerate(P._pieces([(v["x"], v["y"]) for v in pts or ()], sorted(node), 2.0, 0.01))}
+    for most in (1 << 20, 0):  # nodes sent to the tasks, nodes joined
+        monkeypatch.setattr(P, "NODE_BYTES", most)
+        df = P.split_at_nodes(lines, nodes, 2.0)
+        got = {(r["line_id"], r["part"]): [(p["x"], p["y"]) for p in r["points"]] for r in df.collect()}
+        assert got == want
+        assert ("Exchange" in df._jdf.queryExecution().executedPlan().toString()) == (not most)

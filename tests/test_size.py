@@ -51,3 +51,30 @@ def test_split_lines_keeps_lines_where_they_are(spark, monkeypatch):
         got = {(r["line_id"], r["part"]): [(p["x"], p["y"]) for p in r["points"]] for r in df.collect()}
         assert got == want
         assert ("Exchange" in df._jdf.queryExecution().executedPlan().toString()) == (not most)
+
+
+def test_gap_bridges_as_one_pass_over_all_pairs(spark):
+    random.seed(3)
+    spot = [(random.uniform(0, 40), random.uniform(0, 40)) for _ in range(30)]
+    line = lambda: [random.choice(spot), random.choice(spot)]
+    lines = [(i, line(), "ab"[i % 2] if i % 7 else None) for i in range(150)]
+    nodes = [(random.uniform(0, 40), random.uniform(0, 40)) for _ in range(3)] + spot[:5]
+    dist = lambda p, q: ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
+    ends = [(f"{i}:{e}", i, layer, p[-e], [(a - b) / (dist(*p) or 1) for a, b in zip(p[-e], p[e - 1])]) for i, p, layer in lines for e in (0, 1)]
+    df = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in p], k) for i, p, k in lines], LINE)
+    nd = lambda p: min(d if d <= 6.0 else 1e9 for d in (dist(p, n) for n in nodes))
+    for free in (False, True):
+        pairs = [(round(d, 3), a[0], b[0]) for a in ends for b in ends if a[0] < b[0] and a[1] != b[1] and (d := dist(a[3], b[3])) <= 6.0 and (free or a[2] == b[2] and -sum(u * v for u, v in zip(a[4], b[4])) >= 0.5 and d < nd(a[3]) and d < nd(b[3]))]
+        taken, want = set(), set()
+        for _, a, b in sorted(pairs):
+            if a not in taken and b not in taken:
+                taken |= {a, b}
+                want.add((a, b))
+        rows, size = stored(spark, lambda: P.gap_bridges(df, spark.createDataFrame(nodes, "x double, y double"), 6.0, 0.5, free))
+        assert {(r["left_id"], r["right_id"]) for r in rows} == want and len(want) > 15
+
+
+def test_gap_bridges_stores_spots_not_ends(spark):
+    lines, _, node = fan(spark)
+    rows, size = stored(spark, lambda: P.gap_bridges(lines, spark.createDataFrame(node, "x double, y double"), 5.0, 0.5))
+    assert rows and size < 200_000

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,28 +96,88 @@ def endpoint_coincidence(lines: DataFrame, nodes: DataFrame, tol: float) -> Data
     return bare.unionByName(loop).unionByName(off)
 
 
-def _along(lines: DataFrame, size: float) -> DataFrame:
-    """(id, cx, cy): the cells of the points that walk a line in steps of a cell."""
-    seg = lines.select("id", F.explode(geo._pairs(F.col("points"))).alias("s"))
-    n = F.greatest(F.lit(1), F.ceil(geo.distance(F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y")) / size)).cast("int")
-    at = lambda k: F.transform(F.sequence(F.lit(0), n), lambda i: F.col(f"s.a.{k}") + (F.col(f"s.b.{k}") - F.col(f"s.a.{k}")) * i / n)
-    steps = seg.select("id", F.explode(F.arrays_zip(at("x").alias("x"), at("y").alias("y"))).alias("p"))
-    return steps.select("id", cell(F.col("p.x"), size).alias("cx"), cell(F.col("p.y"), size).alias("cy")).distinct()
-
-
 def nearest_line(spans: DataFrame, lines: DataFrame, tol: float) -> DataFrame:
     """(span_id, line_id, d): the nearest line within tol of each span, line to line, the least id on ties; spans without one are left out.
 
-    spans and lines: id, points. Both walk the cells of a grid of twice tol; lines are copied to the cells around theirs.
+    spans and lines: id, points. Both walk the cells of a grid of eight times tol; lines are copied to the cells around
+    theirs. A cell's lines lie in order of their ids, so a span is done with the first that it meets; no pairs are listed.
     """
-    size = max(2 * tol, 1e-9)
-    near = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    a = _along(spans, size).select(F.col("id").alias("span_id"), cell_key(F.col("cx"), F.col("cy")).alias("c"))
-    b = _along(lines, size).select(F.col("id").alias("line_id"), F.explode(F.array(*[cell_key(F.col("cx") + i, F.col("cy") + j) for i, j in near])).alias("c")).distinct()
-    pairs = a.join(b, "c").select("span_id", "line_id").distinct()
-    j = pairs.join(spans.select(F.col("id").alias("span_id"), F.col("points").alias("sp")), "span_id").join(lines.select(F.col("id").alias("line_id"), F.col("points").alias("lp")), "line_id")
-    d = j.select("span_id", "line_id", geo.lines_distance(F.col("sp"), F.col("lp")).alias("d")).where(F.col("d") <= tol)
-    return d.groupBy("span_id").agg(F.min(F.struct("d", "line_id")).alias("b")).select("span_id", F.col("b.line_id").alias("line_id"), F.col("b.d").alias("d"))
+    size = max(8 * tol, 1e-9)
+    step = "array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"
+    single = lambda p: F.when(F.size(p) == 1, F.array(F.struct(F.element_at(p, 1).alias("a"), F.element_at(p, 1).alias("b")))).otherwise(geo._pairs(p)).cast(step)
+
+    parts = ["id", "x", "y", "x1", "y1"]
+
+    def celled(df: DataFrame, name: str, reach: float) -> DataFrame:
+        """(id, x, y, x1, y1, c), all with the name before them: each step of at most a cell along a segment, in the cells that its box, widened by reach, touches."""
+        seg = df.select("id", F.explode(single(F.col("points"))).alias("s")).where(finite(F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y")))
+        n = F.greatest(F.lit(1), F.ceil(geo.distance(F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y")) / size)).cast("int")
+        ends = lambda k, i: (F.col(f"s.a.{k}") + (F.col(f"s.b.{k}") - F.col(f"s.a.{k}")) * i / n, F.col(f"s.a.{k}") + (F.col(f"s.b.{k}") - F.col(f"s.a.{k}")) * (i + 1) / n)
+
+        def cells(k: str, i: Column) -> Column:
+            u, v = ends(k, i)
+            more = reach * 1.000001 + F.abs(u) * 1e-12
+            return F.sequence(cell(F.least(u, v) - more, size), cell(F.greatest(u, v) + more, size))
+
+        every = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.flatten(F.transform(cells("x", i), lambda gx: F.transform(cells("y", i), lambda gy: cell_key(gx, gy))))))
+        return seg.select("id", "s.a.x", "s.a.y", "s.b.x", "s.b.y", F.explode(F.array_distinct(every))).toDF(*[f"{name}_{c}" for c in (*parts, "c")])
+
+    # where a line comes within tol of a span, the line's cells, widened by tol, have the cell of the span's nearest point
+    a, b = celled(spans, "span", 0.0), celled(lines, "line", tol)
+    kinds = [df.schema["id"].dataType.simpleString() for df in (spans, lines)]
+
+    def best(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        mine, others = mine.iloc[:, :6].set_axis([*parts, "c"], axis=1), others.iloc[:, :6].set_axis([*parts, "c"], axis=1).sort_values(["c", "id"])
+        mine = mine.sort_values("c")
+        cells, first = np.unique(mine.c.to_numpy(), return_index=True)
+        lo, hi = (np.searchsorted(others.c.to_numpy(), cells, side) for side in ("left", "right"))
+        got = [r for i, j, k, m in zip(first, np.append(first[1:], len(mine)), lo, hi) if k < m for r in _nearest_in_cell(mine.iloc[i:j], others.iloc[k:m], tol)]
+        return pd.DataFrame(got, columns=["span_id", "line_id", "d"])
+
+    calls = 8 * int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many cells share a task's call
+    a, b = (df.withColumn(f"{k}_call", F.pmod(F.xxhash64(f"{k}_c"), F.lit(calls))) for df, k in ((a, "span"), (b, "line")))
+    found = a.groupBy("span_call").cogroup(b.groupBy("line_call")).applyInPandas(best, f"span_id {kinds[0]}, line_id {kinds[1]}, d double")
+    return found.groupBy("span_id").agg(F.min(F.struct("d", "line_id")).alias("b")).select("span_id", F.col("b.line_id").alias("line_id"), F.col("b.d").alias("d"))
+
+
+def _nearest_in_cell(spans: pd.DataFrame, lines: pd.DataFrame, tol: float) -> list[tuple]:
+    """(span, line, d) of each segment of spans with a segment of lines (id, x, y, x1, y1; in order of id) within tol, the least id on ties."""
+    ids = lines.id.tolist()
+    bx, by, qx, qy = (lines[k].to_numpy() for k in ("x", "y", "x1", "y1"))
+    lo_x, hi_x, lo_y, hi_y = np.minimum(bx, qx), np.maximum(bx, qx), np.minimum(by, qy), np.maximum(by, qy)
+    out = []
+    for span, ax, ay, px, py in zip(spans.id.tolist(), *(spans[k].tolist() for k in ("x", "y", "x1", "y1"))):
+        least, at, start, chunk = np.inf, -1, 0, 128
+        while start < len(ids) and least > 0:
+            # the line must come nearer than what is known so far
+            r = min(tol, least) * (1 + 1e-9) + 1e-12 * max(abs(ax), abs(ay))
+            s = slice(start, start + chunk)
+            k = start + np.flatnonzero((lo_x[s] <= max(ax, px) + r) & (hi_x[s] >= min(ax, px) - r) & (lo_y[s] <= max(ay, py) + r) & (hi_y[s] >= min(ay, py) - r))
+            if len(k):
+                d = _segments_apart(ax, ay, px, py, bx[k], by[k], qx[k], qy[k])
+                j = int(d.argmin())
+                if d[j] <= tol and d[j] < least:
+                    least, at = float(d[j]), int(k[j])
+            start, chunk = start + chunk, min(chunk * 4, 1 << 16)
+        if at >= 0:
+            out.append((span, ids[at], least))
+    return out
+
+
+def _segments_apart(ax, ay, bx, by, cx, cy, dx, dy) -> np.ndarray:
+    """Distance of the segment a-b from each segment c-d: 0 where they cross, else the least of an end from the other segment."""
+    turn = lambda px, py, qx, qy, x, y: (px - x) * (qy - y) - (qx - x) * (py - y)
+
+    def to(px, py, sx, sy, tx, ty):
+        ex, ey = tx - sx, ty - sy
+        norm = ex * ex + ey * ey
+        t = np.where(norm == 0, 0.0, np.clip(((px - sx) * ex + (py - sy) * ey) / np.where(norm == 0, 1.0, norm), 0.0, 1.0))
+        u, v = px - (sx + t * ex), py - (sy + t * ey)
+        return np.sqrt(u * u + v * v)
+
+    meet = (turn(ax, ay, bx, by, cx, cy) * turn(ax, ay, bx, by, dx, dy) < 0) & (turn(cx, cy, dx, dy, ax, ay) * turn(cx, cy, dx, dy, bx, by) < 0)
+    apart = np.minimum(np.minimum(to(ax, ay, cx, cy, dx, dy), to(bx, by, cx, cy, dx, dy)), np.minimum(to(cx, cy, ax, ay, bx, by), to(dx, dy, ax, ay, bx, by)))
+    return np.where(meet, 0.0, apart)
 
 
 # --- labels and representations ------------------------------------------------------------------------------------------

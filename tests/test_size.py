@@ -93,3 +93,25 @@ def test_duplicate_lines_of_one_corner(spark):
     out = J.duplicate_lines(df, 0.001)
     want = {k * 10 + j for k in range(60) for j in (1, 3)} | {5000, 5001, 5002}
     assert {r["id"] for r in out.collect()} == want
+
+
+def test_nearest_line_lists_no_pairs(spark):
+    from netloom.operators import pipeline as L
+
+    random.seed(5)
+    p = lambda n: [(random.uniform(0, 90), random.uniform(0, 90)) for _ in range(n)]
+    spans, lines = [(i, p(1 + i % 3)) for i in range(60)], [(1000 - i, p(1 + i % 4)) for i in range(40)] + [(2000, [(300.0, 0.0), (300.0, 90.0)])]
+    spans += [(900, [(303.0, 10.0), (340.0, 10.0)]), (901, [(310.0, 10.0), (340.0, 10.0)])]
+    df = lambda rows: spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in q]) for i, q in rows], "id long, points array<struct<x:double,y:double>>")
+    seg = lambda q: list(zip(q, q[1:])) or [(q[0], q[0])]
+
+    def apart(q, r):
+        import numpy as np
+
+        one = lambda s, t: float(L._segments_apart(*s[0], *s[1], *(np.array([v]) for e in t for v in e))[0])
+        return min(one(s, t) for s in seg(q) for t in seg(r))
+
+    want = {i: min((d, k) for k, r in lines if (d := apart(q, r)) <= 4.0) for i, q in spans if any(apart(q, r) <= 4.0 for _, r in lines)}
+    out = L.nearest_line(df(spans), df(lines), 4.0)
+    assert {r["span_id"]: (r["d"], r["line_id"]) for r in out.collect()} == want and want[900] == (3.0, 2000) and 901 not in want
+    assert "SortMergeJoin" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "HashJoin" not in plan
